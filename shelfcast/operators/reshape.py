@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from shelfcast.functions.scalars import day_index
 from shelfcast.sources.schemas import KNOWN_CATEGORICALS, NOT_FEATURES, SALES_IDS, SERIES
 
 
@@ -19,15 +18,15 @@ def unpivot_days(wide: DataFrame, cluster: bool = True) -> DataFrame:
     layout, so neither the price join nor the windows move the long table again.
     """
     ids = [c for c in SALES_IDS if c in wide.columns]
-    days = day_columns(wide)
+    columns = day_columns(wide)
     if cluster:
         wide = wide.repartition(*SERIES)
+    # one SQL text instead of thousands of Column objects keeps planning fast
+    values = ", ".join(f"`{c}`" for c in columns)
+    days = ", ".join(c.removeprefix("d_") for c in columns)
     return wide.select(
-        *ids, F.posexplode(F.array(*[F.col(c).cast("int") for c in days])).alias("_pos", "sales"),
-    ).select(
-        *ids,
-        day_index(F.element_at(F.array(*[F.lit(c) for c in days]), F.col("_pos") + 1)).alias("d"),
-        "sales")
+        *ids, F.expr(f"posexplode(cast(array({values}) as array<int>))").alias("_pos", "sales"),
+    ).select(*ids, F.expr(f"array({days})[_pos]").alias("d"), "sales")
 
 
 def pivot_days(long: DataFrame, first: int, last: int) -> DataFrame:

@@ -141,12 +141,15 @@ def forecast_records(packed: DataFrame, features: DataFrame, products: DataFrame
                      quantiles: list[float] = QUANTILES) -> DataFrame:
     """One row per series: history, and per kind a map quantile name -> list over the horizon."""
     days = F.array_sort(F.collect_list(F.struct("h", "yhat")))
+
+    def band(i: int) -> Column:
+        return F.transform("days", lambda day: day["yhat"][i])
+
     lists = packed.groupBy(*SERIES, "kind").agg(days.alias("days")).select(
         *SERIES, "kind",
         F.map_from_arrays(
             F.array(*[F.lit(n) for n in quantile_names(quantiles)]),
-            F.array(*[F.transform("days", lambda r, i=i: r["yhat"][i])
-                      for i in range(len(quantiles))])).alias("bands"))
+            F.array(*[band(i) for i in range(len(quantiles))])).alias("bands"))
     kinds = lists.groupBy(*SERIES).agg(
         F.max_by("bands", F.when(F.col("kind") == "backtest", 1)).alias("backtest"),
         F.max_by("bands", F.when(F.col("kind") == "forecast", 1)).alias("forecast"))

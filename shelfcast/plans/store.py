@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shelfcast.functions.scalars import finite_or_zero
-from shelfcast.operators.ranking import top_per_group
+from shelfcast.operators import summaries
+from shelfcast.operators.ranking import last_rows
 from shelfcast.operators.summaries import padded_history
 from shelfcast.sources import writers
 from shelfcast.sources.schemas import (
@@ -27,23 +28,29 @@ def fingerprint(spark: SparkSession, *paths: str) -> str:
         "|", "n", F.coalesce("x", F.lit(0)), F.coalesce("y", F.lit(0))), 256), 1, 16)).first()[0]
 
 
-def store_tables(features: DataFrame, version: str) -> dict[str, DataFrame]:
-    """rows: newest 112 per series; ctx: the newest; sales: newest 84 as a list; meta."""
+def newest_rows(features: DataFrame, days: int = STORE_DAYS) -> DataFrame:
+    """The newest rows of each series, with the columns serving needs."""
     require_columns(features, list(SERIES) + STORE_ROW_COLUMNS)
     columns = list(dict.fromkeys(list(SERIES) + STORE_ROW_COLUMNS))
-    ranked = top_per_group(features.select(*columns), list(SERIES), [F.col("d").desc()],
-                           STORE_DAYS, "_age")
-    sales = ranked.filter(F.col("_age") <= HISTORY_DAYS).groupBy(*SERIES).agg(
-        F.array_sort(F.collect_list(F.struct("d", F.col("sales").cast("double").alias("sales")))).alias("_p")
-    ).select(*SERIES, F.col("_p.sales").alias("history"))
+    return last_rows(features.select(*columns), days)
+
+
+def serving_tables(rows: DataFrame, version: str) -> dict[str, DataFrame]:
+    """ctx: the newest row per series; sales: the newest 84 as a list; meta: version and day."""
+    history = summaries.history(rows).select(*SERIES, "history")
     return {
-        "rows": ranked.drop("_age"),
-        "ctx": ranked.filter(F.col("_age") == 1).drop("_age"),
-        "sales": sales,
-        "meta": features.agg(F.lit(version).alias("version"), F.max("d").alias("max_d")),
+        "ctx": last_rows(rows, 1),
+        "sales": history,
+        "meta": rows.agg(F.lit(version).alias("version"), F.max("d").alias("max_d")),
     }
 
 
+def store_tables(features: DataFrame, version: str) -> dict[str, DataFrame]:
+    """The four tables of the store, unwritten."""
+    rows = newest_rows(features)
+    return {"rows": rows, **serving_tables(rows, version)}
+
+
 def sanitised(rows: DataFrame) -> DataFrame:
     """Numbers with null, NaN and infinities replaced by 0, counters and flags as int."""
     whole = {"d", "wday", "month", "horizon_day", "target_wday", "days_since_last_sale_lag_28",
@@ -66,13 +73,17 @@ def current_version(spark: SparkSession, path: str) -> str | None:
 
 
 def refresh(features: DataFrame, path: str, version: str, force: bool = False) -> bool:
-    """Write the store unless it is already at this version; meta goes last, so a store whose
-    write was cut short is rebuilt.  True when written."""
+    """Write the store unless it is already at this version.  True when written.
+
+    The feature plan runs once, into `rows`; the other tables are read off that.  Meta goes
+    last, so a store whose write was cut short is rebuilt.
+    """
     spark = features.sparkSession
     if not force and current_version(spark, path) == version:
         return False
-    tables = store_tables(features, version)
-    for name in ("rows", "ctx", "sales"):
+    newest_rows(features).write.mode("overwrite").partitionBy("store_id").parquet(f"{path}/rows")
+    tables = serving_tables(spark.read.parquet(f"{path}/rows"), version)
+    for name in ("ctx", "sales"):
         tables[name].write.mode("overwrite").partitionBy("store_id").parquet(f"{path}/{name}")
     tables["meta"].write.mode("overwrite").parquet(f"{path}/meta")
     return True

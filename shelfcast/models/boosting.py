@@ -1,0 +1,265 @@
+"""Gradient boosting on MLlib trees.
+
+Each round fits one distributed regression tree to the loss gradient and then sets the values of
+its leaves by an aggregation over all training rows.  Only the trees and at most 2^depth numbers
+per tree reach the driver.
+"""
+
+from __future__ import annotations
+
+import json
+from dataclasses import dataclass, field
+
+import numpy as np
+from pyspark.ml.feature import VectorSlicer
+from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from shelfcast.models.losses import Loss
+from shelfcast.session import cut_lineage
+
+
+@dataclass(frozen=True)
+class Params:
+    rounds: int = 50
+    depth: int = 7                  # 2^7 leaves
+    learning_rate: float = 0.05
+    min_leaf_rows: int = 20
+    max_bins: int = 64
+    bagging_share: float = 1.0
+    bagging_every: int = 1
+    feature_share: float = 1.0
+    patience: int | None = None
+    min_delta: float = 0.0
+    seed: int = 42
+    checkpoint_every: int = 10
+
+
+@dataclass
+class Tree:
+    """One fitted tree: its MLlib model, the features it saw, and per leaf value and row count."""
+
+    model: DecisionTreeRegressionModel
+    used: list[int]
+    values: list[float]
+    counts: list[int]
+    width: int
+    _nodes: "Node | None" = None
+
+    def nodes(self) -> "Node":
+        if self._nodes is None:
+            self._nodes = tree_nodes(self)
+        return self._nodes
+
+    def sql(self, x: str) -> str:
+        """The tree as a SQL expression over an array column of features."""
+        def text(node: "Node") -> str:
+            if node.feature < 0:
+                return f"{self.values[node.leaf]!r}D"
+            if node.left_categories is None:
+                test = f"{x}[{node.feature}] <= {node.threshold!r}D"
+            else:
+                test = f"{x}[{node.feature}] IN ({', '.join(f'{c!r}D' for c in node.left_categories)})"
+            return f"CASE WHEN {test} THEN {text(node.left)} ELSE {text(node.right)} END"
+        return text(self.nodes())
+
+    def leaf(self, df: DataFrame, features: str, out: str) -> DataFrame:
+        """Add the index of the leaf each row falls into."""
+        model = self.model.copy()
+        model.setPredictionCol("").setLeafCol(out)
+        if len(self.used) == self.width:
+            return model.setFeaturesCol(features).transform(df)
+        sliced = f"{out}_in"
+        df = VectorSlicer(inputCol=features, outputCol=sliced, indices=self.used).transform(df)
+        return model.setFeaturesCol(sliced).transform(df).drop(sliced)
+
+    def step(self, leaf: str) -> Column:
+        table = F.array(*[F.lit(v) for v in self.values])
+        return F.element_at(table, F.col(leaf).cast("int") + 1)
+
+
+@dataclass
+class Ensemble:
+    loss: Loss
+    features: list[str]
+    start: float
+    learning_rate: float
+    trees: list[Tree] = field(default_factory=list)
+    history: list[float] = field(default_factory=list)
+
+    def raw(self, df: DataFrame, features: str, out: str) -> DataFrame:
+        """Add the raw score.  All tree lookups land in one projection, without a join."""
+        score = F.lit(self.start)
+        leaves = []
+        for i, tree in enumerate(self.trees):
+            leaf = f"{out}_leaf{i}"
+            df = tree.leaf(df, features, leaf)
+            score = score + self.learning_rate * tree.step(leaf)
+            leaves.append(leaf)
+        return df.withColumn(out, score).drop(*leaves)
+
+    def size(self) -> int:
+        return sum(len(t.values) for t in self.trees)
+
+    def expression(self, x: str) -> Column:
+        """The forecast as one expression over a feature array; for ensembles of few leaves."""
+        steps = "".join(f" + {self.learning_rate!r}D * ({t.sql(x)})" for t in self.trees)
+        score = F.expr(f"{self.start!r}D{steps}")
+        return F.greatest(F.lit(0.0), self.loss.link(score))
+
+    def predict(self, df: DataFrame, features: str = "features", out: str = "yhat") -> DataFrame:
+        """Add the forecast, never below zero."""
+        return self.raw(df, features, out).withColumn(
+            out, F.greatest(F.lit(0.0), self.loss.link(F.col(out))))
+
+    def save(self, path: str) -> None:
+        """MLlib trees plus one JSON table with what they lack."""
+        rows = []
+        for i, tree in enumerate(self.trees):
+            tree.model.write().overwrite().save(f"{path}/tree_{i}")
+            rows.append((i, json.dumps([tree.used, tree.values, tree.counts, tree.width])))
+        spark = SparkSession.getActiveSession()
+        head = json.dumps([self.features, self.start, self.learning_rate, self.history])
+        spark.createDataFrame(rows + [(-1, head)], "tree int, body string").coalesce(1).write.mode(
+            "overwrite").json(f"{path}/leaves")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str, loss: Loss) -> "Ensemble":
+        rows = {r["tree"]: json.loads(r["body"]) for r in spark.read.json(f"{path}/leaves").collect()}
+        features, start, rate, history = rows.pop(-1)
+        trees = [Tree(DecisionTreeRegressionModel.load(f"{path}/tree_{i}"), *rows[i])
+                 for i in sorted(rows)]
+        return Ensemble(loss, features, start, rate, trees, history)
+
+
+def _bag(share: float, seed: int, keys: list[str]) -> Column:
+    """A share of the rows picked by key hash, so a recomputed partition picks the same ones."""
+    return F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000)
+
+
+def boost(train: DataFrame, loss: Loss, feature_names: list[str], params: Params = Params(),
+          label: str = "target", features: str = "features", valid: DataFrame | None = None,
+          keys: list[str] | None = None, track: bool = False) -> Ensemble:
+    """Fit an ensemble.
+
+    `train` holds the assembled vector and the label; persist it when several fits share it.
+    `keys` identify rows for bagging (default: label and vector).  With `valid`, training stops
+    after `patience` rounds without an improvement of `min_delta` and keeps the best rounds.
+    `track` records the training loss instead when there is no validation table.
+    """
+    y, f = F.col(label).cast("double"), F.col("_f")
+    keys = keys or [label, features]
+    picked = [label, features, *[k for k in keys if k not in (label, features)]]
+    start = float(train.agg(loss.start(y)).first()[0])
+    out = Ensemble(loss, feature_names, start, params.learning_rate)
+    state = train.select(*picked).withColumn("_f", F.lit(start))
+    check = None if valid is None else valid.select(label, features).withColumn(
+        "_f", F.lit(start))
+    watched = check if check is not None else (state if track else None)
+    best, best_round = np.inf, 0
+    rng = np.random.default_rng(params.seed)
+    width = len(feature_names)
+
+    for i in range(params.rounds):
+        used = sorted(rng.choice(width, max(1, int(round(width * params.feature_share))),
+                                 replace=False).tolist())
+        fit_rows = state
+        if params.bagging_share < 1.0:
+            bag = params.seed + i // params.bagging_every
+            fit_rows = state.filter(_bag(params.bagging_share, bag, keys))
+        fit_rows = fit_rows.withColumn("_g", loss.gradient(y, f))
+        source = features
+        if len(used) < width:
+            source = "_x"
+            fit_rows = VectorSlicer(
+                inputCol=features, outputCol=source, indices=used).transform(fit_rows)
+        model = DecisionTreeRegressor(
+            featuresCol=source, labelCol="_g", maxDepth=params.depth, maxBins=params.max_bins,
+            minInstancesPerNode=params.min_leaf_rows, seed=params.seed).fit(fit_rows.select(source, "_g"))
+        tree = Tree(model, used, [], [], width)
+        leafed = tree.leaf(state, features, "_leaf")
+        stats = {int(r["_leaf"]): r for r in leafed.groupBy("_leaf").agg(
+            loss.leaf_value(y, f).alias("v"), F.count(F.lit(1)).alias("n")).collect()}
+        for leaf in range((model.numNodes + 1) // 2):
+            row = stats.get(leaf)
+            tree.values.append(float(row["v"]) if row and row["v"] is not None else 0.0)
+            tree.counts.append(int(row["n"]) if row else 0)
+        out.trees.append(tree)
+
+        move = F.col("_f") + params.learning_rate * tree.step("_leaf")
+        state = leafed.withColumn("_f", move).drop("_leaf")
+        if check is not None:
+            check = tree.leaf(check, features, "_leaf").withColumn("_f", move).drop("_leaf")
+        if (i + 1) % params.checkpoint_every == 0 and i + 1 < params.rounds:
+            state = cut_lineage(state)
+            check = cut_lineage(check) if check is not None else None
+        watched = check if check is not None else (state if track else None)
+        if watched is not None:
+            now = float(watched.agg(F.avg(loss.value(y, f))).first()[0])
+            out.history.append(now)
+            if now < best - params.min_delta:
+                best, best_round = now, i + 1
+            elif check is not None and params.patience and i + 1 - best_round >= params.patience:
+                break
+    if check is not None and params.patience:
+        out.trees = out.trees[:best_round]
+    return out
+
+
+@dataclass
+class Node:
+    """A tree node as plain numbers: feature -1 marks a leaf."""
+
+    feature: int
+    threshold: float
+    left_categories: list[float] | None
+    gain: float
+    left: "Node | None" = None
+    right: "Node | None" = None
+    leaf: int = -1
+
+
+def tree_nodes(tree: Tree) -> Node:
+    """The split structure of a fitted tree, leaves numbered left to right."""
+    counter = iter(range(len(tree.values)))
+
+    def walk(j) -> Node:
+        if j.getClass().getSimpleName() == "LeafNode":
+            return Node(-1, 0.0, None, 0.0, leaf=next(counter))
+        split = j.split()
+        if split.getClass().getSimpleName() == "ContinuousSplit":
+            threshold, left = split.threshold(), None
+        else:
+            threshold, left = 0.0, [float(c) for c in split.leftCategories()]
+        node = Node(tree.used[split.featureIndex()], threshold, left, j.gain())
+        node.left, node.right = walk(j.leftChild()), walk(j.rightChild())
+        return node
+    return walk(tree.model._java_obj.rootNode())
+
+
+def gain_importance(ensemble: Ensemble) -> dict[str, float]:
+    """Total gain per feature: split gains weighted by the rows that reached the split."""
+    total = dict.fromkeys(ensemble.features, 0.0)
+
+    def walk(node: Node, tree: Tree) -> int:
+        if node.feature < 0:
+            return tree.counts[node.leaf]
+        rows = walk(node.left, tree) + walk(node.right, tree)
+        total[ensemble.features[node.feature]] += node.gain * rows
+        return rows
+    for tree in ensemble.trees:
+        walk(tree.nodes(), tree)
+    return total
+
+
+def importance_table(spark: SparkSession, ensembles: dict[float, Ensemble],
+                     k: int = 15) -> DataFrame:
+    """Gain per feature and quantile, averaged over the quantiles; the k largest."""
+    per_model = {q: gain_importance(e) for q, e in ensembles.items()}
+    names = list(next(iter(per_model.values())))
+    rows = [(n, *[per_model[q][n] for q in per_model]) for n in names]
+    columns = [f"gain_q{str(q).replace('.', '_')}" for q in per_model]
+    schema = "feature string, " + ", ".join(f"{c} double" for c in columns)
+    df = spark.createDataFrame(rows, schema)
+    mean = sum((F.col(c) for c in columns), F.lit(0.0)) / len(columns)
+    return df.withColumn("mean_gain", mean).orderBy(F.desc("mean_gain"), "feature").limit(k)

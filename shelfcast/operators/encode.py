@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from shelfcast.operators.ranking import numbered
 from shelfcast.sources.schemas import CATEGORY_COLUMNS
@@ -21,13 +19,19 @@ def weekday_mapping(spark) -> DataFrame:
 
 
 def build_mapping(df: DataFrame, columns: list[str] = CATEGORY_COLUMNS) -> DataFrame:
-    """(column, value, code): 0-based codes of the non-null values in alphabetical order."""
-    parts = []
-    for c in columns:
-        values = df.select(F.col(c).cast("string").alias("value")).dropna().distinct()
-        parts.append(numbered(values, "value").select(
-            F.lit(c).alias("column"), "value", (F.col("rn") - 1).cast("int").alias("code")))
-    return reduce(DataFrame.unionByName, parts)
+    """(column, value, code): 0-based codes of the non-null values in alphabetical order.
+
+    All columns are deduplicated in one pass and numbered together; a code is the position
+    after its column's first value.
+    """
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))
+                      for c in columns])
+    pairs = df.select(F.inline(cells)).dropna(subset=["value"]).distinct()
+    keyed = pairs.withColumn("_key", F.concat("column", F.lit("\u0001"), "value"))
+    ranked = numbered(keyed, "_key", "_rn")
+    first = ranked.groupBy("column").agg(F.min("_rn").alias("_first"))
+    return ranked.join(first, "column").select(
+        "column", "value", (F.col("_rn") - F.col("_first")).cast("int").alias("code"))
 
 
 def encode(df: DataFrame, mapping: DataFrame, columns: list[str] = CATEGORY_COLUMNS,
@@ -68,6 +72,13 @@ def category_sizes(mapping: DataFrame) -> dict[str, int]:
         (F.max("code") + 1).alias("n")).collect()}
 
 
+def feature_array(features: list[str], sizes: dict[str, int]) -> Column:
+    """The same values as `assemble`, as a plain array expression."""
+    return F.array(*[
+        F.coalesce(F.col(f"{f}_code" if f in sizes else f).cast("double"), F.lit(MISSING))
+        for f in features])
+
+
 def assemble(df: DataFrame, features: list[str], sizes: dict[str, int], out: str = "features",
              max_categories: int = 64) -> DataFrame:
     """Feature vector in fixed order, missing numbers replaced by the sentinel.

@@ -30,13 +30,14 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def local_session(cpus: str | int = "*", shuffle_partitions: int = 8,
-                  memory: str = "12g") -> SparkSession:
+                  memory: str = "8g") -> SparkSession:
     """A local session for tests and the benchmark."""
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("shelfcast")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .getOrCreate()
     )

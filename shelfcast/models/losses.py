@@ -59,7 +59,7 @@ class Squared(Loss):
         return F.avg(y)
 
     def gradient(self, y, f):
-        return y - f
+        return 2.0 * (y - f)
 
     def leaf_value(self, y, f):
         return F.avg(y - f)

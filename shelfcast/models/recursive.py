@@ -16,7 +16,7 @@ from shelfcast.session import cut_lineage
 from shelfcast.sources.schemas import HORIZON, SERIES
 
 DAY = ["wday", "month", "snap_CA", "snap_TX", "snap_WI"]
-STEPS_PER_CHECKPOINT = 7
+STEPS_PER_CHECKPOINT = 2   # a day reads its own output several times; longer chains multiply plans
 # fixed values: the fed-back sales are this mix of the quantiles' mean and the 75 % quantile
 MEAN_SHARE, HIGH_SHARE, HIGH = 0.7, 0.3, 0.75
 

@@ -34,7 +34,7 @@ class QuantileModel:
     def encoded(self, df: DataFrame) -> DataFrame:
         """Add the category codes of training time."""
         columns = [c for c in CATEGORY_COLUMNS if c in self.features]
-        coded = encode.encode(df, self.mapping, columns)
+        coded = encode.encode(df, self.mapping, columns, sizes=self.sizes)
         if "target_wday" in self.features:
             coded = coded.withColumn("target_wday_code", F.col("target_wday") - 1)
         return coded

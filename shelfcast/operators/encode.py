@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from shelfcast.operators.ranking import numbered
 from shelfcast.sources.schemas import CATEGORY_COLUMNS
 
+BROADCAST_CODES = 200_000
 MISSING = -1.0   # stands for a missing number; no real feature is negative
 
 
@@ -35,15 +36,21 @@ def build_mapping(df: DataFrame, columns: list[str] = CATEGORY_COLUMNS) -> DataF
 
 
 def encode(df: DataFrame, mapping: DataFrame, columns: list[str] = CATEGORY_COLUMNS,
-           unseen: str = "zero", suffix: str = "_code") -> DataFrame:
+           unseen: str = "zero", suffix: str = "_code",
+           sizes: dict[str, int] | None = None) -> DataFrame:
     """Add each column's code.
 
+    With known `sizes` a mapping of up to BROADCAST_CODES values is broadcast and the rows stay
+    where they are; a larger one, or one of unknown size, is left to the join planner.
+
     `unseen` decides what a value outside the mapping gets: "zero" (collides with the first
     value, as served models expect), "new" (one past the last code) or "null".
     """
     for c in columns:
         codes = mapping.filter(F.col("column") == c).select(
             F.col("value").alias("_value"), F.col("code").alias("_code"))
+        if sizes is not None and sizes.get(c, 0) <= BROADCAST_CODES:
+            codes = F.broadcast(codes)
         df = df.join(codes, F.trim(F.col(c).cast("string")) == F.col("_value"), "left")
         if unseen == "zero":
             value = F.coalesce("_code", F.lit(0))

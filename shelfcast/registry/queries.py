@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from shelfcast.functions import metrics, scalars, series
+from shelfcast.models import boosting, explain, losses, recursive, scoring, trainers
+from shelfcast.models.boosting import Params
 from shelfcast.operators import encode, horizon, lookup, ranking, reshape, summaries
 from shelfcast.plans import evaluation, features as plans, forecast, leaderboard as boards
 from shelfcast.plans import store as stores, submission as submissions
 from shelfcast.plans.preprocess import preprocess
 from shelfcast.registry import tables as t
-from shelfcast.session import scratch_path, tune
+from shelfcast.session import cut_lineage, scratch_path, tune
 from shelfcast.sources import readers, starschema, writers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -813,3 +815,133 @@ def submission_table(spark, sf):
     predicted = packed.select(
         *PAIR, F.col("h").alias("d"), F.col("yhat")[forecast.MEDIAN].alias("yhat"))
     return t.rounded(submissions.submission(predicted, _template(spark, sf)))
+
+
+# ---- models (no SQL counterpart) -----------------------------------------------------------
+# The trained models are kept per session and folder, so that the queries below share them.
+
+_MODELS: dict[tuple, object] = {}
+MODEL_QUANTILES = [0.5, 0.75, 0.975]
+
+
+def _once(spark, name, sf, build):
+    key = (spark.sparkContext.applicationId, name, sf)
+    if key not in _MODELS:
+        _MODELS[key] = build()
+    return _MODELS[key]
+
+
+def _horizon_model(spark, sf):
+    return _once(spark, "horizon", sf, lambda: scoring.train_horizon(
+        t.features(spark, sf), MODEL_QUANTILES, Params(rounds=2, depth=3, learning_rate=0.3)))
+
+
+def _legacy(spark, sf):
+    return plans.legacy_features(t.prepared(spark, sf))
+
+
+def _recursive_model(spark, sf):
+    """Early stopping, bagging and feature sampling as in production."""
+    return _once(spark, "recursive", sf, lambda: scoring.train_recursive(
+        _legacy(spark, sf), MODEL_QUANTILES,
+        Params(rounds=3, depth=3, learning_rate=0.3, bagging_share=0.8, bagging_every=5,
+               feature_share=0.8, patience=2, min_delta=1e-4), early_stop=True))
+
+
+@query
+def quantile_model_losses(spark, sf):
+    """Validation loss after every boosting round of each quantile."""
+    model = _recursive_model(spark, sf)
+    rows = [(q, i + 1, loss) for q, e in model.ensembles.items() for i, loss in enumerate(e.history)]
+    return spark.createDataFrame(rows, "quantile double, round int, loss double")
+
+
+@query
+def direct_model_forecast(spark, sf):
+    """Model forecasts of every series from both anchors, rescaled and widened."""
+    model = _horizon_model(spark, sf)
+    steps = reshape.repeat_horizons(forecast.anchors(t.features(spark, sf)))
+    packed = model.score(steps).select(
+        *PAIR, "kind", F.col("horizon_day").alias("h"), "target_wday", "yhat")
+    profiles = summaries.weekday_profile(
+        summaries.padded_history(t.features(spark, sf)), t.calendar(spark, sf))
+    packed = forecast.widen(forecast.weekday_rescale(packed, profiles),
+                            median=MODEL_QUANTILES.index(0.5))
+    return t.rounded(forecast.unpack(packed, MODEL_QUANTILES).drop("target_wday"))
+
+
+@query
+def recursive_model_forecast(spark, sf):
+    """Day-by-day forecasts fed back into their own rolling means."""
+    packed = recursive.recursive_forecast(
+        _recursive_model(spark, sf), recursive.seeds(_legacy(spark, sf)), t.calendar(spark, sf))
+    return t.rounded(forecast.unpack(packed, MODEL_QUANTILES))
+
+
+@query
+def loss_comparison(spark, sf):
+    """One fold of squared, asymmetric and Tweedie boosting through the pluggable trainer."""
+    df = t.features(spark, sf).drop("event_name_1")
+    end = df.agg(F.max("d")).first()[0]
+    params = Params(rounds=2, depth=3, learning_rate=0.3, min_leaf_rows=100)
+    parts = None
+    for name, loss in (("squared", losses.Squared()), ("asymmetric", losses.Asymmetric()),
+                       ("tweedie", losses.Tweedie())):
+        scores = evaluation.cross_validate(
+            df, trainers.boosted(loss, params), end, folds=1).withColumn("loss", F.lit(name))
+        parts = scores if parts is None else parts.unionByName(scores)
+    return t.rounded(parts)
+
+
+@query
+def scenario_forecast(spark, sf):
+    """Every series' next 28 days rescored under changed prices and demand levels."""
+    model = _horizon_model(spark, sf)
+    cases = spark.createDataFrame(
+        [("as_is", None, None), ("free", 0.0, None), ("busy", None, 20.0)],
+        "scenario string, sell_price double, roll_mean_28_lag_28 double")
+    steps = reshape.repeat_horizons(forecast.anchors(t.features(spark, sf)).filter(
+        F.col("kind") == "forecast"))
+    scored = model.score(explain.scenarios(steps, cases, ["sell_price", "roll_mean_28_lag_28"]))
+    return t.rounded(scored.select(
+        *PAIR, "scenario", F.col("horizon_day").alias("h"), F.col("yhat")[2].alias("upper")))
+
+
+@query
+def feature_importance(spark, sf):
+    return t.rounded(boosting.importance_table(spark, _horizon_model(spark, sf).ensembles))
+
+
+@query
+def feature_attribution(spark, sf):
+    """Shapley values of the upper quantile for every forecast anchor's first day."""
+    model = _horizon_model(spark, sf)
+    rows = reshape.repeat_horizons(forecast.anchors(t.features(spark, sf)).filter(
+        F.col("kind") == "forecast"), 1)
+    return t.rounded(explain.attributions(
+        model.vectors(rows).select(*PAIR, "features"), model.ensembles[0.975], PAIR))
+
+
+@query
+def uncertainty_drivers(spark, sf):
+    """Top three features behind the width of the band, per series, on its widest day."""
+    model = _horizon_model(spark, sf)
+    steps = cut_lineage(model.score(reshape.repeat_horizons(
+        forecast.anchors(t.features(spark, sf)).filter(F.col("kind") == "backtest"))))
+    peaks = forecast.peak_spread(
+        steps.withColumnRenamed("horizon_day", "h"), 0, 2).select(
+        *PAIR, F.col("peak_h").alias("horizon_day"))
+    rows = steps.drop("yhat").join(peaks, [*PAIR, "horizon_day"])
+    return t.rounded(explain.uncertainty_drivers(
+        rows, model, [*PAIR, "horizon_day"], 0.5, 0.975))
+
+
+@query
+def store_refresh(spark, sf):
+    """Dataset fingerprint, and that a second refresh at the same version is skipped."""
+    version = stores.fingerprint(tune(spark), f"{sf}/lineitem.parquet", f"{sf}/part.parquet")
+    path = scratch_path(spark, "store")
+    df = t.features(spark, sf)
+    written = [stores.refresh(df, path, version) for _ in range(2)]
+    meta = spark.read.parquet(f"{path}/meta")
+    return meta.withColumns({"first": F.lit(written[0]), "second": F.lit(written[1])})

@@ -31,7 +31,8 @@ def prepared(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def features(spark: SparkSession, sf: str) -> DataFrame:
-    return feature_plans.horizon_features(prepared(spark, sf))
+    days = starschema.last_day(tune(spark), sf).first()[0]
+    return feature_plans.horizon_features(prepared(spark, sf), max_rows=days)
 
 
 def naive_scores(steps: DataFrame) -> DataFrame:

@@ -41,8 +41,9 @@ def main() -> None:
 
     # one round of quantile boosting over the full horizon-stacked training window
     begin = time.perf_counter()
-    rows = horizon.expand_horizons(horizon.training_window(tables.features(spark, folder)))
-    mapping = encode.build_mapping(rows, CATEGORY_COLUMNS).cache()
+    window = horizon.training_window(tables.features(spark, folder))
+    mapping = encode.build_mapping(window, CATEGORY_COLUMNS).cache()
+    rows = horizon.expand_horizons(window)
     sizes = {**encode.category_sizes(mapping), "target_wday": 7}
     model = QuantileModel({}, HORIZON_TRAIN_COLUMNS, mapping, sizes)
     train = model.vectors(rows).select("target", "features").persist()

@@ -83,14 +83,18 @@ class QuantileModel:
 def train_quantiles(rows: DataFrame, features: list[str], label: str,
                     quantiles: list[float] = QUANTILES, params: Params = Params(),
                     valid: DataFrame | None = None, keys: list[str] | None = None,
-                    track: bool = False) -> QuantileModel:
+                    track: bool = False, category_rows: DataFrame | None = None) -> QuantileModel:
     """One ensemble per quantile over one shared vector table.
 
+    Category codes come from `category_rows` (default: the training rows); horizon training
+    passes its anchors, which carry the same values 28 times less often.
+
     The table and the mapping are checkpointed, so a lost executor costs a read of the shared
     folder and not the feature plan, and every round plans on a plain scan.
     """
     columns = [c for c in CATEGORY_COLUMNS if c in features]
-    mapping = cut_lineage(encode.build_mapping(rows, columns))
+    mapping = cut_lineage(encode.build_mapping(
+        rows if category_rows is None else category_rows, columns))
     sizes = encode.category_sizes(mapping)
     if "target_wday" in features:
         sizes["target_wday"] = 7
@@ -122,7 +126,8 @@ def train_horizon(features: DataFrame, quantiles: list[float] = QUANTILES,
     train, valid = hz.hold_out(stacked, split)
     return train_quantiles(
         train, HORIZON_TRAIN_COLUMNS, "target", quantiles, params,
-        valid if early_stop else None, ["store_id", "item_id", "d", "horizon_day"], track)
+        valid if early_stop else None, ["store_id", "item_id", "d", "horizon_day"], track,
+        category_rows=window)
 
 
 def train_recursive(features: DataFrame, quantiles: list[float] = QUANTILES,

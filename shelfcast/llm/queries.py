@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfcast.llm import binary_output, packing, quality, url_rules
+from shelfcast.llm import (
+    binary_output, decontaminate, html_text, packing, pii, quality, secrets_scan, url_rules,
+)
 from shelfcast.llm.common import table
 from shelfcast.session import scratch_path
 
@@ -19,6 +21,11 @@ def query(fn):
     return fn
 
 
+@query
+def op1_html_text(spark, sf):
+    return html_text.extract_pages(table(spark, sf, "pages"))
+
+
 @query
 def op3_packing(spark, sf):
     packed = packing.pack(table(spark, sf, "documents"))
@@ -64,3 +71,52 @@ def op5_binary_output(spark, sf):
 @query
 def op6_quality_rules(spark, sf):
     return quality.judge_quality(table(spark, sf, "documents")).drop("lang", *quality.MEASURES)
+
+
+@query
+def op7_personal_data(spark, sf):
+    return pii.digest(pii.personal_data(table(spark, sf, "documents")))
+
+
+@query
+def op8_secret_scan(spark, sf):
+    return secrets_scan.digest(secrets_scan.scan(table(spark, sf, "documents")))
+
+
+@query
+def op9_decontamination(spark, sf):
+    return decontaminate.contamination(
+        table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+ORACLE["op9_decontamination"] = r"""
+WITH doc_words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+item_words AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS words
+  FROM (SELECT item_id, w, least(13, len(w)) AS k,
+               unnest(range(1, len(w) - least(13, len(w)) + 2)) AS i FROM item_words
+        WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT k FROM windows),
+doc_windows AS (
+  SELECT doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') AS words
+  FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i
+        FROM doc_words, sizes WHERE len(w) >= k)),
+hits AS (
+  SELECT doc_id, item_id, i, k FROM doc_windows JOIN windows USING (k, words)),
+n_hit AS (
+  SELECT doc_id, count(DISTINCT p) AS n FROM (
+    SELECT doc_id, unnest(range(i, i + k)) AS p FROM (SELECT DISTINCT doc_id, i, k FROM hits))
+  GROUP BY doc_id),
+n_items AS (
+  SELECT doc_id, count(*) AS n, string_agg(item_id, ',' ORDER BY item_id) AS ids
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item_id FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(h.n, 0)::BIGINT AS n_hit,
+  coalesce(m.n, 0)::BIGINT AS n_items, sha256(coalesce(m.ids, '')) AS items_sha256,
+  coalesce(h.n, 0) > 0 AND 20 * coalesce(h.n, 0) >= len(w) AS contaminated
+FROM doc_words d LEFT JOIN n_hit h USING (doc_id) LEFT JOIN n_items m USING (doc_id)
+"""

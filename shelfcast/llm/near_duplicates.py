@@ -4,9 +4,9 @@ Sketch: in round after round each element of a set is thrown into one of ``t`` b
 first, least value that falls into it.  Rounds ``t`` to ``2t - 1`` throw everything into one bin
 each, so every bin is full at the end, and the share of equal bins of two sets concentrates around
 their similarity.  Bands of bins give buckets.  Documents with equal sets are one node.  In each
-bucket every node is compared with the bucket's first node in a fixed order; after that only nodes
-of buckets that still hold several components are compared with each other, where sizes and sketches
-allow a link.  All links are confirmed on full sets.
+bucket every node is compared with the bucket's first node in a fixed order, then, where a bucket
+still holds several components, with nodes drawn for it; at last all nodes of such buckets that are in
+different components are compared, where sizes and sketches allow a link.  All links are confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -24,45 +24,52 @@ BINS = ROWS * BANDS
 SIG_LONGS = (BINS + 15) // 16     # four bits of every bin
 # equal four-bit bins of a pair at 0.75 are 195 +- 6.8 of 255; a pair below this many is passed over
 LEAST_EQUAL = 164
+# the finer sketch of nodes that are compared across components: 784 +- 13.6 of 1,024
+FINE_BINS = 1024
+LEAST_FINE = 723
 SKETCH = ("row long, doc_id long, text_key long, n long, set_key long, bands array<long>, "
           "sig array<long>")
-SEEDS = mix(np.arange(1, 2 * BINS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+SEEDS = mix(np.arange(1, 2 * FINE_BINS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def sketches(sets: list[np.ndarray]) -> np.ndarray:
-    """One row of ``BINS`` values per non-empty set, by rounds over all sets that have gaps."""
+def sketches(sets: list[np.ndarray], bins: int = BINS) -> np.ndarray:
+    """One row of ``bins`` values per non-empty set, by rounds over all sets that have gaps."""
     full = np.uint64(0xFFFFFFFFFFFFFFFF)
-    out = np.full((len(sets), BINS), full, np.uint64)
+    out = np.full((len(sets), bins), full, np.uint64)
     flat = out.reshape(-1)
     left = np.array([i for i, s in enumerate(sets) if len(s)], np.int64)
-    for i in range(2 * BINS):
+    for i in range(2 * bins):
         if not len(left):
             break
         values = np.concatenate([sets[k] for k in left])
         owner = np.repeat(left, [len(sets[k]) for k in left])
         h = mix(values ^ SEEDS[i])
-        if i < BINS:
-            at = (h >> np.uint64(32)) % np.uint64(BINS)
+        if i < bins:
+            at = (h >> np.uint64(32)) % np.uint64(bins)
         else:
-            at = np.full(len(h), i - BINS, np.uint64)
-        placed = (np.uint64(i) << np.uint64(54)) | (mix(h) >> np.uint64(10))
-        np.minimum.at(flat, owner * BINS + at.astype(np.int64), placed)
+            at = np.full(len(h), i - bins, np.uint64)
+        placed = (np.uint64(i) << np.uint64(52)) | (mix(h) >> np.uint64(12))
+        np.minimum.at(flat, owner * bins + at.astype(np.int64), placed)
         left = left[(out[left] == full).any(axis=1)]
     return out
 
 
-def signatures(table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket keys of each band, and four bits of every bin packed into longs."""
+def packed(table: np.ndarray) -> np.ndarray:
+    """Four bits of every bin, sixteen bins to a long; missing bins of the last long are zero."""
+    n, bins = table.shape
+    nibbles = np.zeros((n, -(-bins // 16) * 16), np.uint64)
+    nibbles[:, :bins] = mix(table) & np.uint64(15)
+    shifts = np.arange(16, dtype=np.uint64) * np.uint64(4)
+    return (nibbles.reshape(n, -1, 16) << shifts).sum(axis=2, dtype=np.uint64).view(np.int64)
+
+
+def bucket_keys(table: np.ndarray) -> np.ndarray:
+    """A key for each band of bins."""
     value = mix(table)
     keys = np.zeros((len(table), BANDS), np.uint64)
     for k in range(ROWS):
         keys = mix(keys * np.uint64(31) + value[:, k::ROWS][:, :BANDS])
-    keys = mix(keys + np.arange(BANDS, dtype=np.uint64))
-    nibbles = np.zeros((len(table), SIG_LONGS * 16), np.uint64)
-    nibbles[:, :BINS] = value & np.uint64(15)
-    shifts = np.arange(16, dtype=np.uint64) * np.uint64(4)
-    packed = (nibbles.reshape(len(table), SIG_LONGS, 16) << shifts).sum(axis=2, dtype=np.uint64)
-    return keys.view(np.int64), packed.view(np.int64)
+    return mix(keys + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
 
 def sketch_rows(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -77,7 +84,8 @@ def sketch_rows(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
                 size += len(group[-1])
                 if size < 200_000 and i + 1 < batch.num_rows:
                     continue
-                keys, sig = signatures(sketches(group))
+                table = sketches(group)
+                keys, sig = bucket_keys(table), packed(table)
                 rows = batch.slice(first, len(group))
                 empty = [len(s) == 0 for s in group]
                 yield pa.RecordBatch.from_arrays([
@@ -98,17 +106,23 @@ def sketch_rows(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
         F.col(text_column).cast("string").alias("text")).mapInArrow(run, SKETCH), "sketches")
 
 
-def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_column: str,
-              text_column: str, percent: int) -> DataFrame:
-    """Pairs (hub, node) whose full sets have ``percent`` of their union in common."""
-    wanted = pairs.select(F.col("hub").alias("set_key")).union(pairs.select("node")).distinct()
-    named = nodes.join(wanted, "set_key", "left_semi").select("set_key", "doc", "text_key")
+def texts_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, id_column: str,
+             text_column: str) -> DataFrame:
+    """(set_key, text): one text of each node in ``wanted`` (set_key), written once."""
+    named = nodes.join(wanted.distinct(), "set_key", "left_semi").select("set_key", "doc", "text_key")
     texts = docs.select(F.col(id_column).cast("long").alias("own_id"),
                         F.col(text_column).cast("string").alias("text")).withColumn(
         "own_key", F.xxhash64("text"))
-    texts = stored(texts.join(named, (texts.own_key == named.text_key) & texts.own_id.eqNullSafe(
+    return stored(texts.join(named, (texts.own_key == named.text_key) & texts.own_id.eqNullSafe(
         named.doc)).select("set_key", "text").dropDuplicates(["set_key"]), "texts")
 
+
+def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_column: str,
+              text_column: str, percent: int) -> DataFrame:
+    """Pairs (hub, node) whose full sets have ``percent`` of their union in common."""
+    texts = texts_of(pairs.select(F.col("hub").alias("set_key")).union(pairs.select("node")),
+                     nodes, docs, id_column, text_column)
+
     def run(batches):
         hub, hub_set = None, None
         for batch in batches:
@@ -136,20 +150,60 @@ def like_sizes(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
+def unequal(x: Column) -> Column:
+    """How many of the sixteen four-bit fields of an exclusive or aren't zero."""
+    x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+    x = x.bitwiseOR(F.shiftrightunsigned(x, 2))              # last bit of a field: not zero
+    return F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+
+
 def equal_bins(a: str, b: str) -> Column:
     """How many four-bit bins of two packed sketches are equal."""
-    ones = F.lit(0x1111111111111111)
     total = F.lit(BINS)
     for k in range(SIG_LONGS):
-        x = F.col(f"{a}.sig")[k].bitwiseXOR(F.col(f"{b}.sig")[k])
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))          # last bit of a nibble: not zero
-        total = total - F.bit_count(x.bitwiseAND(ones))
+        total = total - unequal(F.col(f"{a}.sig")[k].bitwiseXOR(F.col(f"{b}.sig")[k]))
     return total
 
 
+def equal_fine(a: str, b: str) -> Column:
+    return F.lit(FINE_BINS) - F.aggregate(
+        F.zip_with(f"{a}.fine", f"{b}.fine", lambda x, y: unequal(x.bitwiseXOR(y))),
+        F.lit(0), lambda total, x: total + x)
+
+
+def first_shared(a: str, b: str) -> Column:
+    """Whether two nodes share no earlier band, so that a pair comes from one bucket only."""
+    return ~F.exists(F.slice(F.zip_with(f"{a}.bands", f"{b}.bands", lambda x, y: x == y), F.lit(1),
+                             F.col(f"{a}.band")), lambda same: same)
+
+
+def apart(buckets: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(bucket, band, node, root, n, sig, bands) of the buckets with more than one component."""
+    labelled = buckets.join(roots, "node", "left").select(
+        "bucket", "band", "node", F.coalesce("root", "node").alias("root"))
+    several = labelled.groupBy("bucket").agg(
+        F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high")
+    return stored(labelled.join(several.select("bucket"), "bucket", "left_semi").join(
+        nodes.select(F.col("set_key").alias("node"), "n", "sig", "bands"), "node"), "apart")
+
+
+def fine_sketches(texts: DataFrame) -> DataFrame:
+    """(node, fine) of the texts (set_key, text)."""
+
+    def run(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                table = sketches([shingle_set(t.as_py()) for t in part.column(1)], FINE_BINS)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(list(packed(table)), pa.list_(pa.int64()))],
+                    names=["node", "fine"])
+
+    return texts.mapInArrow(run, "node long, fine array<long>")
+
+
 def groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
-           percent: int = 75) -> DataFrame:
+           percent: int = 75, hub_rounds: int = 2) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.
 
     ``component_id`` is the least doc_id of the group.  Null and empty texts have no shingles and
@@ -164,34 +218,47 @@ def groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     ).select("set_key", F.col("named.doc_id").alias("doc"), F.col("named.text_key").alias("text_key"),
              "least", "n", "bands", "sig"), "nodes")
 
-    member = nodes.select(F.explode("bands").alias("bucket"), F.col("set_key").alias("node"), "n")
+    member = nodes.select(F.posexplode("bands").alias("band", "bucket"),
+                          F.col("set_key").alias("node"), "n")
     # set keys are hashes, so the least key is a random but fixed order: near copies share hubs
     first = member.groupBy("bucket").agg(
         F.count(F.lit(1)).alias("size"), F.min(F.struct("node", "n")).alias("hub")).filter("size > 1")
     buckets = stored(member.join(first.select("bucket", "hub"), "bucket").select(
-        "bucket", "node", "n", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")), "buckets")
+        "bucket", "band", "node", "n", F.col("hub.node").alias("hub"),
+        F.col("hub.n").alias("hub_n")), "buckets")
     tried = stored(buckets.filter("node != hub").filter(
         like_sizes(F.col("n"), F.col("hub_n"), percent)).select("hub", "node").distinct(), "tried")
     links = stored(confirmed(tried, nodes, docs, id_column, text_column, percent), "links")
     roots = components(links)
 
-    # what the first comparison left apart: pairs across components of a bucket
-    labelled = buckets.join(roots, "node", "left").select(
-        "bucket", "node", F.coalesce("root", "node").alias("root"))
-    apart = labelled.groupBy("bucket").agg(
-        F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("bucket")
-    still = labelled.join(apart, "bucket", "left_semi").join(
-        nodes.select(F.col("set_key").alias("node"), "n", "sig"), "node")
-    still = stored(still, "apart")
-    a, b = still.alias("a"), still.alias("b")
-    pairs = a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.node") < F.col("b.node"))
-                   & (F.col("a.root") != F.col("b.root"))
-                   & like_sizes(F.col("a.n"), F.col("b.n"), percent)
-                   & (equal_bins("a", "b") >= LEAST_EQUAL)).select(
-        F.col("a.node").alias("hub"), F.col("b.node").alias("node")).distinct()
-    rest = stored(pairs.join(tried, ["hub", "node"], "left_anti"), "rest")
-    more = confirmed(rest, nodes, docs, id_column, text_column, percent)
-    roots = components(stored(links.union(more), "all-links"))
+    # buckets that still hold several components: first against other nodes of the bucket, drawn
+    # anew for each bucket and round, then all pairs across components that sketches allow
+    for step in range(1, hub_rounds + 2):
+        still = apart(buckets, roots, nodes)
+        allowed = equal_bins("a", "b") >= LEAST_EQUAL
+        if step <= hub_rounds:
+            a, b = still.groupBy("bucket").agg(F.min(F.struct(
+                F.xxhash64("node", "bucket", F.lit(step)).alias("order"), "node", "root", "n", "sig")
+            ).alias("x")).select("bucket", "x.*").alias("a"), still.alias("b")
+            one_way = F.col("a.node") != F.col("b.node")
+        else:
+            fine = fine_sketches(texts_of(still.select(F.col("node").alias("set_key")), nodes, docs,
+                                          id_column, text_column))
+            still = stored(still.join(fine, "node"), "fine")
+            a, b = still.alias("a"), still.alias("b")
+            one_way = F.col("a.node") < F.col("b.node")
+            allowed = allowed & first_shared("a", "b") & (equal_fine("a", "b") >= LEAST_FINE)
+        pairs = a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & one_way
+                       & (F.col("a.root") != F.col("b.root"))
+                       & like_sizes(F.col("a.n"), F.col("b.n"), percent)
+                       & allowed).select(
+            F.least("a.node", "b.node").alias("hub"), F.greatest("a.node", "b.node").alias("node")
+        ).distinct()
+        rest = stored(pairs.join(tried, ["hub", "node"], "left_anti"), "rest")
+        tried = tried.union(rest)
+        links = stored(links.union(
+            confirmed(rest, nodes, docs, id_column, text_column, percent)), "links")
+        roots = components(links)
 
     least = roots.join(nodes.select(F.col("set_key").alias("node"), "least"), "node").groupBy(
         "root").agg(F.min("least").alias("component"))

@@ -179,11 +179,11 @@ def first_shared(a: str, b: str) -> Column:
 
 def apart(buckets: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFrame:
     """(bucket, band, node, root, n, sig, bands) of the buckets with more than one component."""
-    labelled = buckets.join(roots, "node", "left").select(
+    rooted = buckets.join(roots, "node", "left").select(
         "bucket", "band", "node", F.coalesce("root", "node").alias("root"))
-    several = labelled.groupBy("bucket").agg(
+    several = rooted.groupBy("bucket").agg(
         F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high")
-    return stored(labelled.join(several.select("bucket"), "bucket", "left_semi").join(
+    return stored(rooted.join(several.select("bucket"), "bucket", "left_semi").join(
         nodes.select(F.col("set_key").alias("node"), "n", "sig", "bands"), "node"), "apart")
 
 
@@ -211,6 +211,12 @@ def groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     has no id.  Rows that repeat an id are judged by their own texts, so each may be kept; a tie in
     the bucket order is one node.  An empty table gives an empty result; other columns are not read.
     """
+    return labelled(docs, id_column, text_column, percent, hub_rounds).drop("text_key")
+
+
+def labelled(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
+             percent: int = 75, hub_rounds: int = 2) -> DataFrame:
+    """``groups`` with the hash of each row's text, to find the row again."""
     rows = sketch_rows(docs, id_column, text_column)
     nodes = stored(rows.filter("n > 0").groupBy("set_key").agg(
         F.min(F.struct("doc_id", "text_key")).alias("named"), F.min("doc_id").alias("least"),
@@ -265,8 +271,8 @@ def groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     named = nodes.select(F.col("set_key").alias("node"), "least").join(
         roots.join(least, "root").select("node", "component"), "node", "left").select(
         F.col("node").alias("set_key"), F.coalesce("component", "least").alias("component"))
-    found = rows.select("doc_id", "n", "set_key").join(named, "set_key", "left")
+    found = rows.select("doc_id", "text_key", "n", "set_key").join(named, "set_key", "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
     return found.select(
-        "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
+        "doc_id", "text_key", F.col("n").alias("n_shingles"), component.alias("component_id"),
         F.col("doc_id").eqNullSafe(component).alias("kept"))

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from shelfcast.llm import (
-    binary_output, decontaminate, html_text, packing, pii, quality, secrets_scan, url_rules,
+    binary_output, decontaminate, html_text, near_duplicates, packing, pii, quality, secrets_scan,
+    substring_dedup, url_rules,
 )
 from shelfcast.llm.common import table
 from shelfcast.session import scratch_path
@@ -26,6 +27,37 @@ def op1_html_text(spark, sf):
     return html_text.extract_pages(table(spark, sf, "pages"))
 
 
+@query
+def op2_minhash_dedup(spark, sf):
+    return near_duplicates.groups(table(spark, sf, "documents"))
+
+
+ORACLE["op2_minhash_dedup"] = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM words
+        WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c
+  FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 100 * c >= 75 * (x.n + y.n - c)),
+edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM words
+  UNION SELECT r.doc_id, e.b FROM reach r JOIN edges e ON e.a = r.other)
+SELECT w.doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(other) AS component_id,
+  min(other) = w.doc_id AS kept
+FROM words w JOIN reach USING (doc_id) LEFT JOIN sizes s ON s.doc_id = w.doc_id
+GROUP BY w.doc_id
+"""
+
+
 @query
 def op3_packing(spark, sf):
     packed = packing.pack(table(spark, sf, "documents"))
@@ -120,3 +152,29 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(h.n, 0)::BIGINT AS n_hit,
   coalesce(h.n, 0) > 0 AND 20 * coalesce(h.n, 0) >= len(w) AS contaminated
 FROM doc_words d LEFT JOIN n_hit h USING (doc_id) LEFT JOIN n_items m USING (doc_id)
 """
+
+
+@query
+def op10_substring_dedup(spark, sf):
+    return substring_dedup.dedup(table(spark, sf, "documents"))
+
+
+ORACLE["op10_substring_dedup"] = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM words WHERE len(w) >= 20)),
+ranked AS (
+  SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS r FROM windows),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM ranked WHERE r > 1),
+lists AS (SELECT doc_id, list(p) AS ps, count(*) AS n FROM gone GROUP BY doc_id),
+kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS text FROM (
+    SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM words)
+  ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT w.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed,
+  sha256(coalesce(k.text, '')) AS kept_sha256
+FROM words w LEFT JOIN lists USING (doc_id) LEFT JOIN kept k USING (doc_id)
+"""

@@ -147,7 +147,8 @@ def judge_quality(docs: DataFrame, vocab: str | None = None, id_column: str = "d
     found = stored(measures(docs, vocab, id_column, text_column, lang_column), "quality")
     # one row per language; the languages of a corpus are few, and the join needs no hint
     judged = found.join(bands(found, width), "lang", "left")
-    wider = F.greatest(F.lit(1.0), F.sqrt(F.lit(float(full_tokens)) / F.col("n_tokens")))
+    wider = F.greatest(F.lit(1.0), F.sqrt(
+        F.lit(float(full_tokens)) / F.greatest(F.col("n_tokens"), F.lit(1))))
     inside = F.lit(True)
     for m in MEASURES:
         room = F.col(f"{m}_room") * wider

@@ -135,9 +135,3 @@ def contains_text(query: str, *columns: str) -> Column:
     for c in columns:
         hit = hit | F.coalesce(F.lower(F.col(c).cast("string")).contains(needle), F.lit(False))
     return hit
-
-
-def histogram_bin(value, low: float, high: float, bins: int) -> Column:
-    """0-based equal-width bin; the top edge belongs to the last bin."""
-    width = (high - low) / bins
-    return F.least(F.floor((_c(value) - low) / width), F.lit(bins - 1)).cast("int")

@@ -237,6 +237,36 @@ def tree_nodes(tree: Tree) -> Node:
     return walk(tree.model._java_obj.rootNode())
 
 
+def node_arrays(tree: Tree) -> tuple[np.ndarray, ...]:
+    """Feature (-1 at a leaf), threshold, left child, right child and value of each node."""
+    rows: list[list[float]] = []
+
+    def add(node: Node) -> int:
+        at = len(rows)
+        rows.append([node.feature, node.threshold, at, at, 0.0])
+        if node.feature < 0:
+            rows[at][4] = tree.values[node.leaf]
+        else:
+            rows[at][2], rows[at][3] = add(node.left), add(node.right)
+        return at
+    add(tree.nodes())
+    table = np.array(rows, dtype=float)
+    return (*(table[:, k].astype(np.int64) for k in (0, 2, 3)), table[:, 1], table[:, 4])
+
+
+def walk(x: np.ndarray, feature: np.ndarray, left: np.ndarray, right: np.ndarray,
+         threshold: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """The value of the leaf that each row of `x` falls into."""
+    at = np.zeros(len(x), np.int64)
+    while len(x):
+        f = feature[at]
+        if (f < 0).all():
+            break
+        low = x[np.arange(len(x)), np.maximum(f, 0)] <= threshold[at]
+        at = np.where(low, left[at], right[at])     # a leaf is its own child
+    return value[at]
+
+
 def gain_importance(ensemble: Ensemble) -> dict[str, float]:
     """Total gain per feature: split gains weighted by the rows that reached the split."""
     total = dict.fromkeys(ensemble.features, 0.0)

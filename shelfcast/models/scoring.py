@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelfcast.models.boosting import Ensemble, Params, boost
+from shelfcast.models.boosting import Ensemble, Params, boost, node_arrays, walk
 from shelfcast.models.losses import Quantile
 from shelfcast.operators import encode, horizon as hz
 from shelfcast.session import cut_lineage
@@ -15,8 +17,6 @@ from shelfcast.sources import readers, writers
 from shelfcast.sources.schemas import (
     CATEGORY_COLUMNS, HORIZON_TRAIN_COLUMNS, LEGACY_COLUMNS, QUANTILES)
 
-EXPRESSION_LEAVES = 4000
-
 
 @dataclass
 class QuantileModel:
@@ -44,22 +44,24 @@ class QuantileModel:
         names = [f"{c}_code" for c in self.sizes]
         return encode.assemble(self.encoded(df), self.features, self.sizes).drop(*names)
 
-    def compact(self) -> bool:
-        """Few enough leaves to score by plain expressions, inside generated code."""
-        return sum(e.size() for e in self.ensembles.values()) <= EXPRESSION_LEAVES
-
     def score_encoded(self, df: DataFrame) -> DataFrame:
-        """Add `yhat`, the clamped quantiles of a row as an array, to rows that carry codes."""
-        if self.compact():
-            df = df.withColumn("_x", encode.feature_array(self.features, self.sizes))
-            return df.withColumn("yhat", F.array(*[
-                e.expression("_x") for e in self.ensembles.values()])).drop("_x")
-        df = encode.assemble(df, self.features, self.sizes)
-        columns = []
-        for i, ensemble in enumerate(self.ensembles.values()):
-            df = ensemble.predict(df, "features", f"_y{i}")
-            columns.append(f"_y{i}")
-        return df.withColumn("yhat", F.array(*columns)).drop("features", *columns)
+        """Add `yhat`, the clamped quantiles of a row as an array, to rows that carry codes.
+
+        One pass over Arrow batches walks all trees of all quantiles level by level, so the plan is
+        the same for two trees and for thousands.
+        """
+        tables = [(e.start, e.learning_rate, [node_arrays(t) for t in e.trees])
+                  for e in self.ensembles.values()]
+
+        @F.pandas_udf("array<double>")
+        def forecast(x: pd.Series) -> pd.Series:
+            rows = np.array(x.tolist(), dtype=float).reshape(len(x), -1)
+            scores = np.stack([start + rate * sum(
+                (walk(rows, *tree) for tree in trees), np.zeros(len(rows)))
+                for start, rate, trees in tables], axis=1)
+            return pd.Series(list(np.maximum(scores, 0.0)))
+
+        return df.withColumn("yhat", forecast(encode.feature_array(self.features, self.sizes)))
 
     def score(self, df: DataFrame) -> DataFrame:
         return self.score_encoded(self.encoded(df)).drop(*[f"{c}_code" for c in self.sizes])
@@ -93,8 +95,9 @@ def train_quantiles(rows: DataFrame, features: list[str], label: str,
     folder and not the feature plan, and every round plans on a plain scan.
     """
     columns = [c for c in CATEGORY_COLUMNS if c in features]
-    mapping = cut_lineage(encode.build_mapping(
-        rows if category_rows is None else category_rows, columns))
+    mapping = cut_lineage(
+        encode.build_ordered_mapping(rows, columns, label) if category_rows is None
+        else encode.build_ordered_mapping(category_rows, columns, "sales"))
     sizes = encode.category_sizes(mapping)
     if "target_wday" in features:
         sizes["target_wday"] = 7

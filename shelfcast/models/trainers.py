@@ -8,17 +8,18 @@ from pyspark.sql import DataFrame, functions as F
 
 from shelfcast.models.boosting import Params, boost
 from shelfcast.models.losses import Loss
-from shelfcast.operators import encode
+from shelfcast.operators import encode, horizon as hz
 from shelfcast.session import cut_lineage
 
 
 def boosted(loss: Loss, params: Params = Params(learning_rate=0.03, depth=8, min_leaf_rows=100),
             label: str = "sales") -> Callable[..., DataFrame]:
     """Boosted trees under any loss.  Categories are those of the training rows; a value first
-    seen in validation is treated as missing."""
+    seen in validation gets code 0, below all known ones.  Weights serve the fold metrics only.
+    With `params.patience` the newest 28 training days are set aside to stop early."""
     def train(train_df: DataFrame, valid_df: DataFrame, features: list[str],
               categoricals: list[str]) -> DataFrame:
-        mapping = cut_lineage(encode.build_mapping(train_df, categoricals))
+        mapping = cut_lineage(encode.build_ordered_mapping(train_df, categoricals, label))
         sizes = encode.category_sizes(mapping)
         used = [f for f in features if f not in categoricals or f in sizes]
         kept = [c for c in categoricals if c in sizes]
@@ -30,10 +31,17 @@ def boosted(loss: Loss, params: Params = Params(learning_rate=0.03, depth=8, min
                 f"{c}_code": F.coalesce(F.col(f"{c}_code") + 1, F.lit(0)) for c in kept})
             return encode.assemble(shifted, used, sane).select(
                 label, "weight", "scale_factor", "features")
+        check = None
+        if params.patience:
+            split = hz.last_day_of(train_df) - hz.HORIZON
+            train_df, late = train_df.filter(F.col("d") <= split), train_df.filter(F.col("d") > split)
+            check = cut_lineage(vectors(late)).persist()
         rows = cut_lineage(vectors(train_df)).persist()
         try:
-            model = boost(rows, loss, used, params, label)
+            model = boost(rows, loss, used, params, label, valid=check)
         finally:
             rows.unpersist()
+            if check is not None:
+                check.unpersist()
         return model.predict(vectors(valid_df))
     return train

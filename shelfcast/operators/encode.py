@@ -29,6 +29,25 @@ def build_mapping(df: DataFrame, columns: list[str] = CATEGORY_COLUMNS) -> DataF
                       for c in columns])
     pairs = df.select(F.inline(cells)).dropna(subset=["value"]).distinct()
     keyed = pairs.withColumn("_key", F.concat("column", F.lit("\u0001"), "value"))
+    return _codes(keyed)
+
+
+def build_ordered_mapping(df: DataFrame, columns: list[str], label: str) -> DataFrame:
+    """(column, value, code): codes in the order of the mean label of each value, ties by value.
+
+    A split of such a code as a number parts the values by what they predict, and does so in the
+    same way for three values as for three million.
+    """
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))
+                      for c in columns])
+    means = df.select(F.col(label).cast("double").alias("_y"), F.inline(cells)).dropna(
+        subset=["value"]).groupBy("column", "value").agg(F.coalesce(F.avg("_y"), F.lit(0.0)).alias("_y"))
+    # fixed width and above zero, so that the text sorts like the number
+    order = F.format_string("%030.9f", F.col("_y") + 1e12)
+    return _codes(means.withColumn("_key", F.concat_ws("\u0001", "column", order, "value")))
+
+
+def _codes(keyed: DataFrame) -> DataFrame:
     ranked = numbered(keyed, "_key", "_rn")
     first = ranked.groupBy("column").agg(F.min("_rn").alias("_first"))
     return ranked.join(first, "column").select(
@@ -86,23 +105,19 @@ def feature_array(features: list[str], sizes: dict[str, int]) -> Column:
         for f in features])
 
 
-def assemble(df: DataFrame, features: list[str], sizes: dict[str, int], out: str = "features",
-             max_categories: int = 64) -> DataFrame:
-    """Feature vector in fixed order, missing numbers replaced by the sentinel.
+def assemble(df: DataFrame, features: list[str], sizes: dict[str, int],
+             out: str = "features") -> DataFrame:
+    """Feature vector in fixed order; missing numbers and codes are the sentinel.
 
-    A coded column is declared nominal while its size fits the tree's bins; beyond that its
-    alphabetical code is split as a number.
+    Codes are split as numbers whatever their count, so they should come from
+    `build_ordered_mapping`.
     """
     columns = {}
     for f in features:
         source = f"{f}_code" if f in sizes else f
         value = F.coalesce(F.col(source).cast("double"), F.lit(MISSING))
-        size = sizes.get(f)
-        if size and 1 < size <= max_categories:
-            meta = {"ml_attr": {"type": "nominal", "num_vals": size, "name": f}}
-        else:
-            meta = {"ml_attr": {"type": "numeric", "name": f}}
-        columns[f"_f_{f}"] = value.alias(f"_f_{f}", metadata=meta)
+        columns[f"_f_{f}"] = value.alias(f"_f_{f}", metadata={
+            "ml_attr": {"type": "numeric", "name": f}})
     staged = df.select("*", *columns.values())
     return VectorAssembler(inputCols=list(columns), outputCol=out, handleInvalid="keep") \
         .transform(staged).drop(*columns)

@@ -51,14 +51,10 @@ def hold_out(df: DataFrame, split: Column | int, on: str = "anchor") -> tuple[Da
     return df.filter(day <= split), df.filter(day > split)
 
 
-def cv_splits(folds: int, end_day: int, horizon: int = HORIZON) -> list[dict[str, int]]:
-    """Expanding-window folds, newest first: day bounds of training and validation."""
-    out = []
-    for i in range(folds):
-        stop = end_day - i * horizon
-        start = stop - horizon + 1
-        out.append({"fold": i + 1, "train_end": start - 1, "val_start": start, "val_end": stop})
-    return out
+def fold_bounds(fold: int, end_day: int, horizon: int = HORIZON) -> tuple[int, int]:
+    """First and last validation day of a fold; fold 1 is the newest, and training ends the day
+    before.  The same arithmetic as `fold_column`."""
+    return end_day - fold * horizon + 1, end_day - (fold - 1) * horizon
 
 
 def fold_column(end_day: Column, folds: int, horizon: int = HORIZON) -> Column:

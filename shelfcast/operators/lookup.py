@@ -18,14 +18,15 @@ def keep_ids(df: DataFrame, ids: DataFrame, key: str = "item_id") -> DataFrame:
 
 
 def keep_available(df: DataFrame, available: DataFrame) -> DataFrame:
-    """Rows whose (store, item) is in the feature store; all rows when the store is empty.
+    """Rows whose (store, item) is in the feature store; all rows when the store has none of them.
 
-    Emptiness is a scalar subquery, so the choice is made at run time inside one plan.
+    Whether any is known is a scalar subquery, so the choice is made at run time inside one plan.
     """
-    pairs = available.select(*SERIES).distinct().withColumn("_known", F.lit(True))
-    empty = available.select(F.count(F.lit(1)) == 0).scalar()
-    return df.join(pairs, list(SERIES), "left").filter(
-        F.col("_known").isNotNull() | empty).drop("_known")
+    pairs = available.select(*SERIES).distinct()
+    known = df.select(*SERIES).join(pairs, list(SERIES), "left_semi")
+    none = known.select(F.count(F.lit(1)) == 0).scalar()
+    return df.join(pairs.withColumn("_known", F.lit(True)), list(SERIES), "left").filter(
+        F.col("_known").isNotNull() | none).drop("_known")
 
 
 def rows_at_day(features: DataFrame, wanted: DataFrame) -> DataFrame:

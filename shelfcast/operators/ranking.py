@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 SINGLE_TASK_ROWS = 100_000   # up to this many rows one task may sort
 SAMPLE_PER_BUCKET = 40
+ROWS_PER_PART = 1_000_000    # larger tables are cut into parts of about this size
 
 
 def split_points(df: DataFrame, key: str, rows: int, buckets: int) -> list:
@@ -19,7 +20,7 @@ def split_points(df: DataFrame, key: str, rows: int, buckets: int) -> list:
     return [sample[int(i * step)] for i in range(1, buckets)]
 
 
-def numbered(df: DataFrame, key: str, out: str = "rn", buckets: int = 64,
+def numbered(df: DataFrame, key: str, out: str = "rn", buckets: int | None = None,
              single_task_rows: int = SINGLE_TASK_ROWS) -> DataFrame:
     """Add the 1-based position of each row in ascending order of a unique key.
 
@@ -30,6 +31,7 @@ def numbered(df: DataFrame, key: str, out: str = "rn", buckets: int = 64,
     rows = df.count()
     if rows <= single_task_rows:
         return df.withColumn(out, F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(key)))
+    buckets = buckets or max(64, -(-rows // ROWS_PER_PART))
     points = F.array(*[F.lit(p) for p in split_points(df, key, rows, buckets)])
     part: Column = F.size(F.filter(points, lambda p: p <= F.col(key)))
     tagged = df.withColumn("_part", part)
@@ -40,7 +42,7 @@ def numbered(df: DataFrame, key: str, out: str = "rn", buckets: int = 64,
         "_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_offset"))
     inside = F.row_number().over(Window.partitionBy("_part").orderBy(key))
     return tagged.withColumn("_inside", inside).join(offsets, "_part").withColumn(
-        out, (F.col("_inside") + F.col("_offset")).cast("int")
+        out, (F.col("_inside") + F.col("_offset")).cast("long")
     ).drop("_part", "_inside", "_offset")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from shelfcast.functions.scalars import histogram_bin, pad_history
+from shelfcast.functions.scalars import pad_history
 from shelfcast.operators.ranking import last_rows
 from shelfcast.sources.schemas import HISTORY_DAYS, SERIES
 
@@ -54,15 +54,13 @@ def weekday_profile(histories: DataFrame, calendar: DataFrame) -> DataFrame:
     return dated.groupBy(*SERIES).agg(F.array(*level).alias("profile"))
 
 
-def residual_histogram(df: DataFrame, residual: str, bins: int, low: float | None = None,
-                       high: float | None = None) -> DataFrame:
-    """Counts per equal-width bin between the given edges, or the smallest and largest value."""
-    if low is None or high is None:
-        edges = df.agg(F.min(residual).alias("lo"), F.max(residual).alias("hi")).first()
-        low, high = edges["lo"], edges["hi"]
-    if low is None or high <= low:
-        return df.filter(F.col(residual).isNotNull()).groupBy(F.lit(0).alias("bin")).agg(
-            F.count(F.lit(1)).alias("n"))
-    inside = df.filter(F.col(residual).between(low, high))
-    return inside.groupBy(histogram_bin(residual, low, high, bins).alias("bin")).agg(
-        F.count(F.lit(1)).alias("n"))
+def residual_histogram(df: DataFrame, residual: str, bins: int) -> DataFrame:
+    """Counts per equal-width bin between the smallest and the largest residual; every residual is
+    in a bin."""
+    low = df.agg(F.min(residual).alias("x")).scalar()
+    high = df.agg(F.max(residual).alias("x")).scalar()
+    known = df.filter(F.col(residual).isNotNull())
+    width = (high - low) / bins
+    at = F.when(width > 0, F.least(
+        F.floor((F.col(residual) - low) / F.nullif(width, F.lit(0.0))), F.lit(bins - 1))).otherwise(0)
+    return known.groupBy(at.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))

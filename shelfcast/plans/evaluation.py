@@ -106,11 +106,12 @@ def cross_validate(df: DataFrame, trainer: Callable[..., DataFrame], end_day: in
     features = reshape.feature_columns(df)
     categoricals = reshape.categorical_columns(df, features)
     parts = None
-    for split in hz.cv_splits(folds, end_day, horizon):
-        train = df.filter((F.col("d") <= split["train_end"]) & F.col("sales").isNotNull())
-        valid = df.filter(F.col("d").between(split["val_start"], split["val_end"]))
+    for fold in range(1, folds + 1):
+        first, last = hz.fold_bounds(fold, end_day, horizon)
+        train = df.filter((F.col("d") < first) & F.col("sales").isNotNull())
+        valid = df.filter(F.col("d").between(first, last))
         scored = trainer(train, valid, features, categoricals).withColumn(
-            "fold", F.lit(split["fold"])).select(
+            "fold", F.lit(fold)).select(
             "fold", "sales", "yhat", "weight", "scale_factor")
         parts = scored if parts is None else parts.unionByName(scored)
     return fold_metrics(parts, "sales", "yhat")

@@ -75,12 +75,15 @@ def current_version(spark: SparkSession, path: str) -> str | None:
 def refresh(features: DataFrame, path: str, version: str, force: bool = False) -> bool:
     """Write the store unless it is already at this version.  True when written.
 
-    The feature plan runs once, into `rows`; the other tables are read off that.  Meta goes
-    last, so a store whose write was cut short is rebuilt.
+    The feature plan runs once, into `rows`; the other tables are read off that.  Meta is
+    emptied first and written last, so a store whose write was cut short has no version.
     """
     spark = features.sparkSession
     if not force and current_version(spark, path) == version:
         return False
+    if current_version(spark, path):
+        spark.createDataFrame([], "version string, max_d int").write.mode("overwrite").parquet(
+            f"{path}/meta")
     newest_rows(features).write.mode("overwrite").partitionBy("store_id").parquet(f"{path}/rows")
     tables = serving_tables(spark.read.parquet(f"{path}/rows"), version)
     for name in ("ctx", "sales"):
@@ -94,7 +97,10 @@ def lookup(wanted: DataFrame, stored: dict[str, DataFrame], features: DataFrame)
     else nothing and a list of zeros."""
     pairs = wanted.select(*SERIES).distinct()
     body = [c for c in stored["ctx"].columns if c not in SERIES]
-    asked = features.join(pairs, list(SERIES), "left_semi")
+    # the table is read for pairs that the store lacks
+    missing = pairs.join(stored["ctx"].select(*SERIES), list(SERIES), "left_anti").union(
+        pairs.join(stored["sales"].select(*SERIES), list(SERIES), "left_anti")).distinct()
+    asked = features.join(missing, list(SERIES), "left_semi")
     newest = asked.groupBy(*SERIES).agg(F.max_by(F.struct(*body), "d").alias("_late"))
     late_history = padded_history(asked).select(*SERIES, F.col("history").alias("_late_history"))
     ctx = stored["ctx"].select(*SERIES, F.struct(*body).alias("_ctx"))

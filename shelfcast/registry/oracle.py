@@ -249,6 +249,7 @@ LEFT JOIN (SELECT DISTINCT item_id, store_id, dept_id FROM daily) k ON k.item_id
 oracle("servable_pairs", "items stores feat", """
 SELECT store_id, item_id FROM items CROSS JOIN stores
 WHERE (store_id, item_id) IN (SELECT (store_id, item_id) FROM feat)""")
+oracle("unfiltered_when_pairs_unknown", "items", "SELECT 'NOWHERE' AS store_id, item_id FROM items")
 oracle("unfiltered_when_store_empty", "items stores", "SELECT store_id, item_id FROM items CROSS JOIN stores")
 
 
@@ -305,8 +306,9 @@ SELECT CAST(least(floor((e - lo) / ((hi - lo) / 15)), 14) AS INTEGER) AS bin, co
 FROM (SELECT sales - q4 AS e FROM naive), (SELECT min(sales - q4) AS lo, max(sales - q4) AS hi FROM naive)
 GROUP BY 1""")
 oracle("residual_bins_50", "naive", """
-SELECT CAST(least(floor((e + 10.0::DOUBLE) / 0.4::DOUBLE), 49) AS INTEGER) AS bin, count(*) AS n
-FROM (SELECT q4 - sales AS e FROM naive) WHERE e BETWEEN -10 AND 10 GROUP BY 1""")
+SELECT CAST(least(floor((e - lo) / ((hi - lo) / 50)), 49) AS INTEGER) AS bin, count(*) AS n
+FROM (SELECT q4 - sales AS e FROM naive), (SELECT min(q4 - sales) AS lo, max(q4 - sales) AS hi FROM naive)
+GROUP BY 1""")
 
 oracle("lagged_values", "ext_a", f"SELECT {KEY}, lag_7, lag_28, {r('price_lag_28')} FROM ext_a")
 oracle("lead_values", "sales", f"""

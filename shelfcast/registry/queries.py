@@ -16,6 +16,7 @@ from shelfcast.plans.preprocess import preprocess
 from shelfcast.registry import tables as t
 from shelfcast.session import cut_lineage, scratch_path, tune
 from shelfcast.sources import readers, starschema, writers
+from shelfcast.sources.schemas import QUANTILES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 KEY = ["store_id", "item_id", "d"]
@@ -173,6 +174,15 @@ def servable_pairs(spark, sf):
     return lookup.keep_available(everywhere, ctx).select("store_id", "item_id")
 
 
+@query
+def unfiltered_when_pairs_unknown(spark, sf):
+    """A store that holds none of the asked pairs filters nothing."""
+    ctx = stores.store_tables(t.features(spark, sf), "v")["ctx"]
+    elsewhere = reshape.repeat_stores(
+        t.sales(spark, sf).select("item_id").distinct(), ["NOWHERE"])
+    return lookup.keep_available(elsewhere, ctx).select("store_id", "item_id")
+
+
 @query
 def unfiltered_when_store_empty(spark, sf):
     """An empty store filters nothing."""
@@ -320,9 +330,9 @@ def residual_bins_15(spark, sf):
 
 @query
 def residual_bins_50(spark, sf):
-    """The same in 50 bins over the fixed range the error chart shows."""
+    """The same with the sign turned, in 50 bins over the whole range."""
     df = t.naive_quantiles(spark, sf).withColumn("residual", F.col("q4") - F.col("sales"))
-    return summaries.residual_histogram(df, "residual", 50, -10.0, 10.0)
+    return summaries.residual_histogram(df, "residual", 50)
 
 
 # ---- series operators ----------------------------------------------------------------------
@@ -612,8 +622,9 @@ def encoded_categories(spark, sf):
     """Codes on every row; the mapping knows only rows before day 300."""
     df = starschema.daily_sales(tune(spark), sf)
     mapping = encode.build_mapping(df.filter(F.col("d") < 300))
-    zero = encode.encode(df, mapping)
-    both = encode.encode(zero, mapping, ["item_id"], unseen="null", suffix="_or_null")
+    sizes = encode.category_sizes(mapping)
+    zero = encode.encode(df, mapping, sizes=sizes)
+    both = encode.encode(zero, mapping, ["item_id"], unseen="null", suffix="_or_null", sizes=sizes)
     return both.select(*KEY, "item_id_code", "dept_id_code", "cat_id_code", "store_id_code",
                        "state_id_code", "item_id_or_null")
 
@@ -821,7 +832,7 @@ def submission_table(spark, sf):
 # The trained models are kept per session and folder, so that the queries below share them.
 
 _MODELS: dict[tuple, object] = {}
-MODEL_QUANTILES = [0.5, 0.75, 0.975]
+MODEL_QUANTILES = QUANTILES
 
 
 def _once(spark, name, sf, build):
@@ -880,15 +891,15 @@ def recursive_model_forecast(spark, sf):
 
 @query
 def loss_comparison(spark, sf):
-    """One fold of squared, asymmetric and Tweedie boosting through the pluggable trainer."""
-    df = t.features(spark, sf).drop("event_name_1")
+    """Three folds of squared, asymmetric and Tweedie boosting through the pluggable trainer."""
+    df = t.features(spark, sf)
     end = df.agg(F.max("d")).first()[0]
     params = Params(rounds=2, depth=3, learning_rate=0.3, min_leaf_rows=100)
     parts = None
     for name, loss in (("squared", losses.Squared()), ("asymmetric", losses.Asymmetric()),
                        ("tweedie", losses.Tweedie())):
         scores = evaluation.cross_validate(
-            df, trainers.boosted(loss, params), end, folds=1).withColumn("loss", F.lit(name))
+            df, trainers.boosted(loss, params), end, folds=3).withColumn("loss", F.lit(name))
         parts = scores if parts is None else parts.unionByName(scores)
     return t.rounded(parts)
 
@@ -904,7 +915,7 @@ def scenario_forecast(spark, sf):
         F.col("kind") == "forecast"))
     scored = model.score(explain.scenarios(steps, cases, ["sell_price", "roll_mean_28_lag_28"]))
     return t.rounded(scored.select(
-        *PAIR, "scenario", F.col("horizon_day").alias("h"), F.col("yhat")[2].alias("upper")))
+        *PAIR, "scenario", F.col("horizon_day").alias("h"), *[F.col("yhat")[i].alias(f"q{i}") for i in range(len(MODEL_QUANTILES))]))
 
 
 @query
@@ -914,12 +925,14 @@ def feature_importance(spark, sf):
 
 @query
 def feature_attribution(spark, sf):
-    """Shapley values of the upper quantile for every forecast anchor's first day."""
+    """Shapley values of both ends of the 95 % band for every day of every forecast."""
     model = _horizon_model(spark, sf)
-    rows = reshape.repeat_horizons(forecast.anchors(t.features(spark, sf)).filter(
-        F.col("kind") == "forecast"), 1)
-    return t.rounded(explain.attributions(
-        model.vectors(rows).select(*PAIR, "features"), model.ensembles[0.975], PAIR))
+    key = [*PAIR, "horizon_day"]
+    rows = cut_lineage(model.vectors(reshape.repeat_horizons(forecast.anchors(
+        t.features(spark, sf)).filter(F.col("kind") == "forecast"))).select(*key, "features"))
+    low, high = (explain.attributions(rows, model.ensembles[q], key).withColumn("q", F.lit(q))
+                 for q in (0.025, 0.975))
+    return t.rounded(low.unionByName(high))
 
 
 @query
@@ -929,17 +942,19 @@ def uncertainty_drivers(spark, sf):
     steps = cut_lineage(model.score(reshape.repeat_horizons(
         forecast.anchors(t.features(spark, sf)).filter(F.col("kind") == "backtest"))))
     peaks = forecast.peak_spread(
-        steps.withColumnRenamed("horizon_day", "h"), 0, 2).select(
+        steps.withColumnRenamed("horizon_day", "h"), MODEL_QUANTILES.index(0.025),
+        MODEL_QUANTILES.index(0.975)).select(
         *PAIR, F.col("peak_h").alias("horizon_day"))
     rows = steps.drop("yhat").join(peaks, [*PAIR, "horizon_day"])
     return t.rounded(explain.uncertainty_drivers(
-        rows, model, [*PAIR, "horizon_day"], 0.5, 0.975))
+        rows, model, [*PAIR, "horizon_day"], 0.025, 0.975))
 
 
 @query
 def store_refresh(spark, sf):
     """Dataset fingerprint, and that a second refresh at the same version is skipped."""
-    version = stores.fingerprint(tune(spark), f"{sf}/lineitem.parquet", f"{sf}/part.parquet")
+    version = stores.fingerprint(tune(spark), *[
+        f"{sf}/{name}.parquet" for name in ("lineitem", "part", "supplier", "nation", "region")])
     path = scratch_path(spark, "store")
     df = t.features(spark, sf)
     written = [stores.refresh(df, path, version) for _ in range(2)]

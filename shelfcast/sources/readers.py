@@ -2,36 +2,50 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from shelfcast.functions.scalars import day_index
 from shelfcast.sources import schemas
 
-MAX_CSV_COLUMNS = 40000
 
+def csv_header(spark: SparkSession, path: str) -> list[str]:
+    """Column names of a CSV, from its first line alone."""
+    row = spark.read.text(path).first()
+    return next(csv.reader([row[0]])) if row else []
 
-def read_calendar(spark: SparkSession, path: str) -> DataFrame:
-    """Calendar by integer day; only the columns the file has and the jobs use are kept."""
+
+def read_csv(spark: SparkSession, path: str, layout: T.StructType,
+             optional: tuple[str, ...] = ()) -> DataFrame:
+    """Columns of the layout by their name in the header, wherever they stand.
+
+    A cell that doesn't parse stops the job, and so does a missing column unless it is optional.
+    """
     header = csv_header(spark, path)
-    types = {f.name: f.dataType for f in schemas.CALENDAR.fields}
-    layout = T.StructType([T.StructField(c, types.get(c, T.StringType())) for c in header])
-    raw = spark.read.schema(layout).csv(path, header=True)
-    keep = [c for c in schemas.CALENDAR.fieldNames() if c in header]
-    return raw.select(*keep).withColumn("d", day_index("d"))
+    missing = [f.name for f in layout.fields if f.name not in header and f.name not in optional]
+    if missing:
+        raise ValueError(f"{path}: missing columns {missing}")
+    types = {f.name: f.dataType for f in layout.fields}
+    own = T.StructType([T.StructField(c, types.get(c, T.StringType())) for c in header])
+    raw = spark.read.schema(own).csv(
+        path, header=True, mode="FAILFAST", maxColumns=max(len(header), 1) + 1)
+    return raw.select(*[c for c in layout.fieldNames() if c in header])
 
 
-def read_prices(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.PRICES).csv(path, header=True)
+def read_calendar(spark: SparkSession, path: str) -> DataFrame:
+    """Calendar by integer day; only the columns the file has and the jobs use are kept."""
+    names = tuple(schemas.CALENDAR.fieldNames())
+    return read_csv(spark, path, schemas.CALENDAR, optional=tuple(
+        c for c in names if c != "d")).withColumn("d", day_index("d"))
 
 
-def csv_header(spark: SparkSession, path: str) -> list[str]:
-    """Column names of a CSV without scanning it."""
-    return spark.read.csv(path, header=True, maxColumns=MAX_CSV_COLUMNS).columns
+def read_prices(spark: SparkSession, path: str) -> DataFrame:
+    return read_csv(spark, path, schemas.PRICES)
 
 
 def read_wide_sales(spark: SparkSession, path: str) -> DataFrame:
-    layout = schemas.wide_sales_schema(csv_header(spark, path))
-    return spark.read.schema(layout).csv(path, header=True, maxColumns=MAX_CSV_COLUMNS)
+    return read_csv(spark, path, schemas.wide_sales_schema(csv_header(spark, path)))
 
 
 def read_features(spark: SparkSession, path: str, columns: list[str] | None = None,
@@ -55,9 +69,17 @@ def read_mapping(spark: SparkSession, path: str) -> DataFrame:
 def read_products(spark: SparkSession, path: str) -> DataFrame:
     """Product names from JSON lines or, by suffix, from CSV."""
     if path.endswith(".csv"):
-        return spark.read.csv(path, header=True).select("item_id", "product_name")
+        return read_csv(spark, path, schemas.PRODUCTS)
     return spark.read.schema(schemas.PRODUCTS).json(path)
 
 
 def read_leaderboard(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.LEADERBOARD).csv(path, header=True)
+    """Ranked items; the file may name a store for each."""
+    return read_csv(spark, path, schemas.LEADERBOARD, optional=("store_id",))
+
+
+def read_band_scales(spark: SparkSession, path: str) -> list[float]:
+    """Calibrated scale of each forecast day, from one JSON object that maps "1", "2", ... to it."""
+    row = spark.read.json(path, multiLine=True).first()
+    scales = {int(k): float(v) for k, v in (row.asDict() if row else {}).items()}
+    return [scales[h] for h in sorted(scales)]

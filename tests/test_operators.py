@@ -58,10 +58,44 @@ def test_horizon_expansion_row_count_and_gaps(spark):
     assert strict.filter((F.col("d") + F.col("horizon_day")) % 10 == 0).count() == 0
 
 
-def test_cv_splits():
-    assert horizon.cv_splits(2, 1913) == [
-        {"fold": 1, "train_end": 1885, "val_start": 1886, "val_end": 1913},
-        {"fold": 2, "train_end": 1857, "val_start": 1858, "val_end": 1885}]
+def test_fold_bounds_agree_with_the_fold_column(spark):
+    assert [horizon.fold_bounds(f, 1913) for f in (1, 2)] == [(1886, 1913), (1858, 1885)]
+    days = spark.range(1800, 1920).select(F.col("id").cast("int").alias("d")).withColumn(
+        "fold", horizon.fold_column(F.lit(1913), 3)).groupBy("fold").agg(F.min("d"), F.max("d"))
+    assert {r[0]: (r[1], r[2]) for r in days.collect() if r[0]} == {
+        f: horizon.fold_bounds(f, 1913) for f in (1, 2, 3)}
+
+
+def test_unknown_pairs_are_not_filtered(spark):
+    ask = spark.createDataFrame([("A", "x"), ("A", "y")], "store_id string, item_id string")
+    other = spark.createDataFrame([("B", "x")], "store_id string, item_id string")
+    one = spark.createDataFrame([("A", "y"), ("B", "x")], "store_id string, item_id string")
+    assert lookup.keep_available(ask, other).count() == 2
+    assert [tuple(r) for r in lookup.keep_available(ask, one).collect()] == [("A", "y")]
+
+
+def test_csv_is_read_by_name_and_strictly(spark, tmp_path):
+    (tmp_path / "p.csv").write_text("sell_price,item_id,extra,wm_yr_wk,store_id\n1.5,i,x,3,s\n")
+    row = readers.read_prices(spark, str(tmp_path / "p.csv")).first()
+    assert (row.store_id, row.item_id, row.wm_yr_wk, row.sell_price) == ("s", "i", 3, 1.5)
+    (tmp_path / "bad.csv").write_text("store_id,item_id,wm_yr_wk,sell_price\ns,i,x,1.0\n")
+    with pytest.raises(Exception):
+        readers.read_prices(spark, str(tmp_path / "bad.csv")).collect()
+    (tmp_path / "short.csv").write_text("store_id,item_id\ns,i\n")
+    with pytest.raises(ValueError):
+        readers.read_prices(spark, str(tmp_path / "short.csv"))
+    (tmp_path / "board.csv").write_text("store_id,item_id,Popularity,Volatility,Sparsity\nA,x,1,2,3\n")
+    assert readers.read_leaderboard(spark, str(tmp_path / "board.csv")).first().store_id == "A"
+    (tmp_path / "scales.json").write_text('{"2": 0.5, "1": 1.5}')
+    assert readers.read_band_scales(spark, str(tmp_path / "scales.json")) == [1.5, 0.5]
+
+
+def test_histogram_holds_every_value(spark):
+    df = spark.createDataFrame([(float(v),) for v in (-100, 0, 1, 2, 300)] + [(None,)], "e double")
+    got = {r.bin: r.n for r in summaries.residual_histogram(df, "e", 50).collect()}
+    assert sum(got.values()) == 5 and got[0] == 1 and got[49] == 1
+    same = spark.createDataFrame([(1.0,), (1.0,)], "e double")
+    assert [tuple(r) for r in summaries.residual_histogram(same, "e", 50).collect()] == [(0, 2)]
 
 
 def test_weekday_has_period_seven(spark):

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from shelfcast.models.boosting import Ensemble, Params, boost, node_arrays, walk
 from shelfcast.models.losses import Quantile
@@ -18,6 +18,21 @@ from shelfcast.sources.schemas import (
     CATEGORY_COLUMNS, HORIZON_TRAIN_COLUMNS, LEGACY_COLUMNS, QUANTILES)
 
 
+def scores(features: Column, tables: list[tuple]) -> Column:
+    """Forecasts of several ensembles, never below zero, from an array of features.
+
+    An ensemble is its start, its learning rate and the node arrays of its trees.
+    """
+    @F.pandas_udf("array<double>")
+    def forecast(x: pd.Series) -> pd.Series:
+        rows = np.array(x.tolist(), dtype=float).reshape(len(x), -1)
+        found = np.stack([start + rate * sum(
+            (walk(rows, *tree) for tree in trees), np.zeros(len(rows)))
+            for start, rate, trees in tables], axis=1)
+        return pd.Series(list(np.maximum(found, 0.0)))
+    return forecast(features)
+
+
 @dataclass
 class QuantileModel:
     """Ensembles by quantile, with the encoding they were trained under."""
@@ -52,16 +67,8 @@ class QuantileModel:
         """
         tables = [(e.start, e.learning_rate, [node_arrays(t) for t in e.trees])
                   for e in self.ensembles.values()]
-
-        @F.pandas_udf("array<double>")
-        def forecast(x: pd.Series) -> pd.Series:
-            rows = np.array(x.tolist(), dtype=float).reshape(len(x), -1)
-            scores = np.stack([start + rate * sum(
-                (walk(rows, *tree) for tree in trees), np.zeros(len(rows)))
-                for start, rate, trees in tables], axis=1)
-            return pd.Series(list(np.maximum(scores, 0.0)))
-
-        return df.withColumn("yhat", forecast(encode.feature_array(self.features, self.sizes)))
+        return df.withColumn(
+            "yhat", scores(encode.feature_array(self.features, self.sizes), tables))
 
     def score(self, df: DataFrame) -> DataFrame:
         return self.score_encoded(self.encoded(df)).drop(*[f"{c}_code" for c in self.sizes])

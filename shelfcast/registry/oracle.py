@@ -566,3 +566,29 @@ oracle("submission_table", "daily anchors", "SELECT k.item_id || '_' || k.store_
     f'ELSE 0.0::DOUBLE END AS "F{i}"' for i in range(1, 29)) + """
 FROM (SELECT DISTINCT item_id, store_id FROM daily) k CROSS JOIN (SELECT unnest(['validation', 'evaluation']) AS suffix) x
 LEFT JOIN anchors a ON a.store_id = k.store_id AND a.item_id = k.item_id AND a.kind = 'forecast'""")
+
+oracle("fixed_tree_scores", "feat", f"""
+SELECT {KEY}, {r("greatest(0.0, 1.5 + 0.5 * (CASE WHEN coalesce(lag_28, -1) <= 3 THEN -4 ELSE 6 END"
+                 " + CASE WHEN coalesce(wday, -1) <= 2 THEN 1 ELSE -1 END))", 'first')},
+  {r("4.0 + CASE WHEN coalesce(sell_price, -1) <= 1000 THEN 0.25 ELSE 2.5 END", 'second')} FROM feat""")
+_w = "CASE WHEN y > f THEN 1.05 ELSE 1.0 END"
+_g = "(y * exp(-0.15 * f) - exp(0.85 * f))"
+_c = "(0.15 * y * exp(-0.15 * f) + 0.85 * exp(0.85 * f))"
+cte("scored", "feat", "SELECT store_id, CAST(sales AS DOUBLE) AS y, CAST(lag_28 AS DOUBLE) * 0.05::DOUBLE AS f FROM feat")
+oracle("loss_terms", "scored", "\nUNION ALL ".join(
+    f"SELECT store_id, {r(start, 'start')}, {r(f'avg({gradient})', 'gradient')}, {r(step, 'step')}, "
+    f"{r(f'avg({loss})', 'loss')}, '{name}' AS name FROM scored GROUP BY store_id"
+    for name, start, gradient, step, loss in (
+        ("squared", "avg(y)", "2.0 * (y - f)", "avg(y - f)", "(y - f) * (y - f)"),
+        ("asymmetric", "avg(y)", f"2.0 * {_w} * (y - f)", f"sum({_w} * (y - f)) / sum({_w})",
+         f"{_w} * (y - f) * (y - f)"),
+        ("tweedie", "ln(greatest(avg(y), 1e-6))", _g, f"sum({_g}) / sum({_c})",
+         "y * exp(-0.15 * f) / 0.15 + exp(0.85 * f) / 0.85"))))
+oracle("mapping_file", "daily", code_union("daily"))
+oracle("leaderboard_file", "profiles", f"SELECT item_id, {_prof}, 'ASIA' AS store_id FROM profiles")
+oracle("store_refresh_flags", "feat", """
+SELECT count(*) AS series, true AS first, false AS again, true AS forced, true AS newer
+FROM (SELECT DISTINCT store_id, item_id FROM feat)""")
+oracle("training_file", "targets", """
+SELECT horizon_day, count(*) AS n, sum(target) AS target_sum, CAST(sum(target_wday) AS BIGINT) AS weekdays
+FROM targets GROUP BY horizon_day""")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from shelfcast.functions import metrics, scalars, series
@@ -950,6 +951,82 @@ def uncertainty_drivers(spark, sf):
         rows, model, [*PAIR, "horizon_day"], 0.025, 0.975))
 
 
+def fixed_tree(feature: int, cut: float, low: float, high: float) -> tuple[np.ndarray, ...]:
+    """Node arrays of a tree with one split."""
+    return (np.array([feature, -1, -1]), np.array([1, 1, 2]), np.array([2, 1, 2]),
+            np.array([cut, 0.0, 0.0]), np.array([0.0, low, high]))
+
+
+@query
+def fixed_tree_scores(spark, sf):
+    """Every feature row scored by two ensembles of given trees, missing numbers as the sentinel."""
+    names = ["lag_28", "sell_price", "wday"]
+    tables = [(1.5, 0.5, [fixed_tree(0, 3.0, -4.0, 6.0), fixed_tree(2, 2.0, 1.0, -1.0)]),
+              (4.0, 1.0, [fixed_tree(1, 1000.0, 0.25, 2.5)])]
+    df = t.features(spark, sf)
+    yhat = scoring.scores(encode.feature_array(names, {}), tables)
+    return t.rounded(df.withColumn("yhat", yhat).select(
+        *KEY, F.col("yhat")[0].alias("first"), F.col("yhat")[1].alias("second")))
+
+
+@query
+def loss_terms(spark, sf):
+    """Start, mean gradient, leaf step and mean loss of each loss per store, from a given score."""
+    df = t.features(spark, sf).select(
+        "store_id", F.col("sales").cast("double").alias("y"), (F.col("lag_28") * 0.05).alias("f"))
+    y, f = F.col("y"), F.col("f")
+    parts = None
+    for name, loss in (("squared", losses.Squared()), ("asymmetric", losses.Asymmetric()),
+                       ("tweedie", losses.Tweedie())):
+        part = df.groupBy("store_id").agg(
+            loss.start(y).alias("start"), F.avg(loss.gradient(y, f)).alias("gradient"),
+            loss.leaf_value(y, f).alias("step"), F.avg(loss.value(y, f)).alias("loss"),
+        ).withColumn("name", F.lit(name))
+        parts = part if parts is None else parts.unionByName(part)
+    return t.rounded(parts)
+
+
+@query
+def mapping_file(spark, sf):
+    """Category codes written as JSON and read back."""
+    path = scratch_path(tune(spark), "mapping")
+    writers.write_mapping(encode.build_mapping(starschema.daily_sales(spark, sf)), path)
+    return readers.read_mapping(spark, path)
+
+
+@query
+def leaderboard_file(spark, sf):
+    """Item profiles with a store written as CSV and read by name."""
+    path = scratch_path(tune(spark), "board")
+    board = summaries.item_profile(t.sales(spark, sf)).withColumn("store_id", F.lit("ASIA"))
+    writers.write_csv(board.select("store_id", "Sparsity", "item_id", "Volatility", "Popularity"), path)
+    return t.rounded(readers.read_leaderboard(spark, path))
+
+
+@query
+def training_file(spark, sf):
+    """Horizon rows written as the training CSV and read back, per horizon."""
+    path = scratch_path(tune(spark), "training")
+    writers.write_training_csv(horizon_targets(spark, sf), path, ["horizon_day", "target_wday"])
+    rows = spark.read.schema("target double, horizon_day int, target_wday int").csv(
+        path, header=True, mode="FAILFAST")
+    return rows.groupBy("horizon_day").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("target").alias("target_sum"),
+        F.sum("target_wday").alias("weekdays"))
+
+
+@query
+def store_refresh_flags(spark, sf):
+    """Whether a store was written: first, again at its version, forced, at a new version."""
+    path = scratch_path(tune(spark), "store")
+    df = t.features(spark, sf)
+    written = [stores.refresh(df, path, version, force) for version, force in (
+        ("a", False), ("a", False), ("a", True), ("b", False))]
+    rows = spark.read.parquet(f"{path}/ctx").groupBy().agg(F.count(F.lit(1)).alias("series"))
+    return rows.select("series", *[
+        F.lit(w).alias(n) for w, n in zip(written, ("first", "again", "forced", "newer"), strict=True)])
+
+
 @query
 def store_refresh(spark, sf):
     """Dataset fingerprint, and that a second refresh at the same version is skipped."""

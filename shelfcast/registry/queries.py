@@ -33,7 +33,7 @@ def query(fn):
 
 @query
 def horizon_feature_table(spark, sf):
-    df = t.features(spark, sf)
+    df = t.feature_plan(spark, sf)
     return t.rounded(df.select(
         *KEY, "sales", "wday", "month", "sell_price", "price_norm", "price_momentum_7d",
         "price_momentum_28d", "lag_28", "roll_mean_7_lag_28", "roll_mean_28_lag_28",
@@ -1031,7 +1031,7 @@ def store_refresh_flags(spark, sf):
 def store_refresh(spark, sf):
     """Dataset fingerprint, and that a second refresh at the same version is skipped."""
     version = stores.fingerprint(tune(spark), *[
-        f"{sf}/{name}.parquet" for name in ("lineitem", "part", "supplier", "nation", "region")])
+        f"{sf}/{name}.parquet" for name in t.SOURCES])
     path = scratch_path(spark, "store")
     df = t.features(spark, sf)
     written = [stores.refresh(df, path, version) for _ in range(2)]

@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shelfcast.plans import features as feature_plans
 from shelfcast.plans import forecast
-from shelfcast.session import tune
-from shelfcast.sources import starschema
+from shelfcast.plans.store import fingerprint
+from shelfcast.session import shared_dir, tune
+from shelfcast.sources import starschema, writers
 from shelfcast.sources.schemas import QUANTILES
 
 # Quantile factors of the model-free forecast: a quantile is the lag-28 sales times its factor.
 FACTORS = [0.1, 0.2, 0.6, 0.75, 1.0, 1.3, 1.5, 2.2, 3.0]
 SNAP_REGIONS = {"AFRICA": "snap_CA", "AMERICA": "snap_TX", "ASIA": "snap_WI"}
+SOURCES = ["lineitem", "part", "supplier", "nation", "region"]
 REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
 
 
@@ -31,6 +33,15 @@ def prepared(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def features(spark: SparkSession, sf: str) -> DataFrame:
+    """The feature table, written once per session and state of its source files, and read with the
+    columns and days that a query needs."""
+    version = fingerprint(tune(spark), *[f"{sf}/{name}.parquet" for name in SOURCES])
+    path = f"{shared_dir(spark)}/features-{version}"
+    return writers.build_if_missing(spark, path, lambda: feature_plan(spark, sf))
+
+
+def feature_plan(spark: SparkSession, sf: str) -> DataFrame:
+    """The feature table as a plan over its sources."""
     days = starschema.last_day(tune(spark), sf).first()[0]
     return feature_plans.horizon_features(prepared(spark, sf), max_rows=days)
 

@@ -23,7 +23,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     else:
         out = met.filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(
             least.filter("u != m").select("u", "m"))
-    return out.filter("a != b").distinct()
+    out = out.filter("a != b")
+    return out if large else out.distinct()
 
 
 def _mark(edges: DataFrame) -> tuple:

@@ -4,9 +4,9 @@ Sketch: in round after round each element of a set is thrown into one of ``t`` b
 first, least value that falls into it.  Rounds ``t`` to ``2t - 1`` throw everything into one bin
 each, so every bin is full at the end, and the share of equal bins of two sets concentrates around
 their similarity.  Bands of bins give buckets.  Documents with equal sets are one node.  In each
-bucket every node is compared with the bucket's first node in a fixed order, then, where a bucket
-still holds several components, with nodes drawn for it; at last all nodes of such buckets that are in
-different components are compared, where sizes and sketches allow a link.  All links are confirmed on full sets.
+bucket every node is compared with the bucket's first node in a fixed order; then, in buckets that
+still hold several components, all nodes of different components are compared, where sizes and
+sketches allow a link.  All links are confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -203,7 +203,7 @@ def fine_sketches(texts: DataFrame) -> DataFrame:
 
 
 def groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
-           percent: int = 75, hub_rounds: int = 2) -> DataFrame:
+           percent: int = 75) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.
 
     ``component_id`` is the least doc_id of the group.  Null and empty texts have no shingles and
@@ -211,11 +211,11 @@ def groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     has no id.  Rows that repeat an id are judged by their own texts, so each may be kept; a tie in
     the bucket order is one node.  An empty table gives an empty result; other columns are not read.
     """
-    return labelled(docs, id_column, text_column, percent, hub_rounds).drop("text_key")
+    return labelled(docs, id_column, text_column, percent).drop("text_key")
 
 
 def labelled(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
-             percent: int = 75, hub_rounds: int = 2) -> DataFrame:
+             percent: int = 75) -> DataFrame:
     """``groups`` with the hash of each row's text, to find the row again."""
     rows = sketch_rows(docs, id_column, text_column)
     nodes = stored(rows.filter("n > 0").groupBy("set_key").agg(
@@ -237,34 +237,21 @@ def labelled(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     links = stored(confirmed(tried, nodes, docs, id_column, text_column, percent), "links")
     roots = components(links)
 
-    # buckets that still hold several components: first against other nodes of the bucket, drawn
-    # anew for each bucket and round, then all pairs across components that sketches allow
-    for step in range(1, hub_rounds + 2):
-        still = apart(buckets, roots, nodes)
-        allowed = equal_bins("a", "b") >= LEAST_EQUAL
-        if step <= hub_rounds:
-            a, b = still.groupBy("bucket").agg(F.min(F.struct(
-                F.xxhash64("node", "bucket", F.lit(step)).alias("order"), "node", "root", "n", "sig")
-            ).alias("x")).select("bucket", "x.*").alias("a"), still.alias("b")
-            one_way = F.col("a.node") != F.col("b.node")
-        else:
-            fine = fine_sketches(texts_of(still.select(F.col("node").alias("set_key")), nodes, docs,
-                                          id_column, text_column))
-            still = stored(still.join(fine, "node"), "fine")
-            a, b = still.alias("a"), still.alias("b")
-            one_way = F.col("a.node") < F.col("b.node")
-            allowed = allowed & first_shared("a", "b") & (equal_fine("a", "b") >= LEAST_FINE)
-        pairs = a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & one_way
-                       & (F.col("a.root") != F.col("b.root"))
-                       & like_sizes(F.col("a.n"), F.col("b.n"), percent)
-                       & allowed).select(
-            F.least("a.node", "b.node").alias("hub"), F.greatest("a.node", "b.node").alias("node")
-        ).distinct()
-        rest = stored(pairs.join(tried, ["hub", "node"], "left_anti"), "rest")
-        tried = tried.union(rest)
-        links = stored(links.union(
-            confirmed(rest, nodes, docs, id_column, text_column, percent)), "links")
-        roots = components(links)
+    # buckets that still hold several components: all pairs across them that sketches allow
+    still = apart(buckets, roots, nodes)
+    fine = fine_sketches(texts_of(still.select(F.col("node").alias("set_key")), nodes, docs,
+                                  id_column, text_column))
+    still = stored(still.join(fine, "node"), "fine")
+    pairs = still.alias("a").join(
+        still.alias("b"), (F.col("a.bucket") == F.col("b.bucket"))
+        & (F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root"))
+        & like_sizes(F.col("a.n"), F.col("b.n"), percent)
+        & (equal_bins("a", "b") >= LEAST_EQUAL) & first_shared("a", "b")
+        & (equal_fine("a", "b") >= LEAST_FINE)).select(
+        F.col("a.node").alias("hub"), F.col("b.node").alias("node"))
+    rest = stored(pairs.join(tried, ["hub", "node"], "left_anti"), "rest")
+    more = confirmed(rest, nodes, docs, id_column, text_column, percent)
+    roots = components(links.union(more))
 
     least = roots.join(nodes.select(F.col("set_key").alias("node"), "least"), "node").groupBy(
         "root").agg(F.min("least").alias("component"))

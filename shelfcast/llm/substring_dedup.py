@@ -14,12 +14,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from shelfcast.llm.common import stored
 from shelfcast.llm.fm_index import FMIndex
-from shelfcast.llm.shingles import POWERS, mix
+from shelfcast.llm.shingles import POWERS, mix, powers, word_hashes
 
 WINDOW = 20
 GROUP = 5
@@ -29,10 +28,6 @@ HOT_ENTRIES = 4096      # anchors with more entries are settled window by window
 _P = np.array([pow(0xD6E8FEB86659FD93, k, 1 << 64) for k in range(RUN + WINDOW)], np.uint64)
 
 
-def hashes(words: list[bytes]) -> np.ndarray:
-    return np.array(list(map(xxhash.xxh3_64_intdigest, words)), np.uint64)
-
-
 def sequence_hash(w: np.ndarray) -> int:
     total = mix((w * _P[:len(w)]).sum(keepdims=True, dtype=np.uint64) + np.uint64(len(w)))
     return int(total.view(np.int64)[0])
@@ -61,21 +56,19 @@ def segments(w: np.ndarray) -> tuple[np.ndarray, ...]:
         ends = np.repeat(starts + lengths, [len(p) for p in parts])
         starts = np.concatenate(parts)
         lengths = np.minimum(RUN, ends - starts)
-    # the hash of all words of a segment, each word weighed by its place in it
-    content = mix(_sums(starts, lengths + WINDOW - 1, lambda at, place: w[at] * _P[place])
-                  + (lengths + WINDOW - 1).astype(np.uint64))
-    reach = lengths + span - 1
-    same = np.repeat(g[starts], reach)
-    twice = _sums(starts, reach, lambda at, place: (groups[at] == same).astype(np.int64)) > 1
+    # the hash of all words of a segment, as a difference of running sums freed from its place
+    up, down = powers(len(w) + 1)
+    sums = np.zeros(len(w) + 1, np.uint64)
+    np.cumsum(w * up[:len(w)], out=sums[1:])
+    ends = starts + lengths + WINDOW - 1
+    content = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    twice = np.zeros(len(starts), np.int64)
+    values, counts = np.unique(groups, return_counts=True)
+    for k in np.flatnonzero(np.isin(g[starts], values[counts > 1])):
+        inside = groups[starts[k]:starts[k] + lengths[k] + span - 1]
+        twice[k] = (inside == g[starts[k]]).sum() > 1
     return (g[starts].view(np.int64), content.view(np.int64), starts.astype(np.int64),
-            lengths.astype(np.int64), twice.astype(np.int64))
-
-
-def _sums(starts: np.ndarray, reach: np.ndarray, term) -> np.ndarray:
-    """Sums of a term over ``reach`` places from each start."""
-    begin = np.concatenate([[0], np.cumsum(reach)[:-1]])
-    place = np.arange(reach.sum()) - np.repeat(begin, reach)
-    return np.add.reduceat(term(np.repeat(starts, reach) + place, place), begin)
+            lengths.astype(np.int64), twice)
 
 
 def keyed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -93,7 +86,7 @@ def anchored(rows: DataFrame) -> DataFrame:
             ids, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             out, size = [], 0
             for i in range(len(ids)):
-                found = segments(hashes(batch.column(2)[i].as_py().encode("utf-8", "replace").split()))
+                found = segments(word_hashes(batch.column(2)[i].as_py().encode("utf-8", "replace")))
                 m = len(found[0])
                 if m:
                     out.append([pa.array(found[0]), pa.array(found[1]),
@@ -225,7 +218,7 @@ def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
                 open_ones = [s for s in spans or [] if s["anchor"] is not None]
                 entries = []
                 if open_ones:
-                    w = hashes(text.encode("utf-8", "replace").split())
+                    w = word_hashes(text.encode("utf-8", "replace"))
                     entries = [{"anchor": s["anchor"], "hot": s["hot"], "start": s["start"],
                                 "words": w[s["start"]:s["last"]].tobytes()} for s in open_ones]
                 done = (None, None, None) if entries else removed(text, sure)

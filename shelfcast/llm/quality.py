@@ -16,6 +16,7 @@ from shelfcast.llm.common import stored, vocabulary
 
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
+MOST_SENT_BANDS = 100_000
 MEASURES = ["chars_per_token", "byte_share", "entropy_ratio"]
 SCHEMA = ("doc_id long, lang string, n_words long, word_chars long, n_symbols long, "
           "n_dup_lines long, n_repeat_words long, n_tokens long, chars_per_token double, "
@@ -145,8 +146,12 @@ def judge_quality(docs: DataFrame, vocab: str | None = None, id_column: str = "d
     empty result; columns beyond id, text and language are not read.
     """
     found = stored(measures(docs, vocab, id_column, text_column, lang_column), "quality")
-    # one row per language; the languages of a corpus are few, and the join needs no hint
-    judged = found.join(bands(found, width), "lang", "left")
+    # one row per language: sent to all tasks after a look at their count, so that no task gets all
+    # rows of a frequent language
+    limits = stored(bands(found, width), "bands")
+    if limits.count() <= MOST_SENT_BANDS:
+        limits = F.broadcast(limits)
+    judged = found.join(limits, "lang", "left")
     wider = F.greatest(F.lit(1.0), F.sqrt(
         F.lit(float(full_tokens)) / F.greatest(F.col("n_tokens"), F.lit(1))))
     inside = F.lit(True)

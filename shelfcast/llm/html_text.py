@@ -150,8 +150,8 @@ def tag_counts(page: str) -> dict[str, list[int]] | None:
 
 
 def learn_weights(pages: DataFrame, html_column: str = "html", id_column: str = "page_id",
-                  most_pages: int = 2000) -> dict[str, float]:
-    """Weights by kind of tag from at most ``most_pages`` labelled pages, taken in hash order.
+                  most_pages: int = 2000, url_column: str = "url") -> dict[str, float]:
+    """Weights by kind of tag from the labelled ones of ``most_pages`` pages in hash order.
 
     A kind of tag that always stands outside weighs one more than the longest text seen there; one
     that always stands inside weighs next to nothing.
@@ -166,11 +166,12 @@ def learn_weights(pages: DataFrame, html_column: str = "html", id_column: str =
                 [pa.array(keys, pa.string()), pa.array(n_in, pa.int64()),
                  pa.array(n_out, pa.int64())], names=["key", "n_in", "n_out"])
 
-    labelled = pages.select(
-        F.col(html_column).cast("string").alias("html"),
-        F.xxhash64(F.col(id_column).cast("string"), F.col(html_column)).alias("order")).filter(
-        F.lower("html").contains("<article") | F.lower("html").contains("<main"))
-    sample = labelled.orderBy("order").limit(most_pages).select("html")
+    # the hash that the sample ends at is found on narrow rows; html is read for the sample alone
+    order = F.xxhash64(F.col(id_column).cast("string"), F.col(url_column).cast("string"))
+    last = pages.select(order.alias("order")).orderBy("order").limit(most_pages).agg(
+        F.max("order")).first()[0]
+    sample = pages.filter(order <= F.lit(last).cast("long")).select(
+        F.col(html_column).cast("string").alias("html")).limit(most_pages)
     rows = sample.mapInArrow(count, "key string, n_in long, n_out long").groupBy("key").agg(
         F.sum("n_in").alias("n_in"), F.sum("n_out").alias("n_out"),
         F.max("n_out").alias("longest")).collect()          # the tags of that many pages
@@ -236,7 +237,7 @@ def extract_pages(pages: DataFrame, id_column: str = "page_id", url_column: str
     empty table gives an empty result; other columns are not read; texts have no length limit.
     """
     known = weights if weights is not None else learn_weights(
-        pages, html_column, id_column, most_labelled)
+        pages, html_column, id_column, most_labelled, url_column)
 
     def run(batches):
         for batch in batches:

@@ -102,7 +102,8 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
                 begins = [*row["block_starts"], row["n_ids"]]
                 ids = np.concatenate([
                     from_planes(planes, begins[k + 1] - begins[k], row["plane"])

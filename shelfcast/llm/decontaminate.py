@@ -33,6 +33,11 @@ def item_terms(benchmark: DataFrame, id_column: str = "item_id",
                        F.posexplode("words").alias("at", "term"))
 
 
+def sent_if_small(rows: DataFrame) -> DataFrame:
+    """Sent to every task if its counted rows are few, else joined by a shuffle."""
+    return rows if rows.count() > BROADCAST_TERMS else F.broadcast(rows)
+
+
 def build_index(docs: DataFrame, vocabulary: DataFrame, id_column: str = "doc_id",
                 text_column: str = "text") -> DataFrame:
     """Postings (term_id, row, doc_id, pos) of the vocabulary's terms in all rows, written to the
@@ -43,8 +48,7 @@ def build_index(docs: DataFrame, vocabulary: DataFrame, id_column: str = "doc_id
         F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
     found = rows.select("row", "doc_id", F.posexplode(
         F.concat(terms_of(F.col("text")), F.array(F.lit(END)))).alias("pos", "term"))
-    wanted = vocabulary if vocabulary.count() > BROADCAST_TERMS else F.broadcast(vocabulary)
-    return stored(found.join(wanted, "term").select("term_id", "row", "doc_id", "pos"), "postings")
+    return stored(found.join(sent_if_small(vocabulary), "term").select("term_id", "row", "doc_id", "pos"), "postings")
 
 
 def phrase_hits(index: DataFrame, items: DataFrame, words: int = 13) -> DataFrame:
@@ -59,9 +63,10 @@ def phrase_hits(index: DataFrame, items: DataFrame, words: int = 13) -> DataFram
         F.coalesce("n", F.lit(0)).alias("n"), F.col("at"), F.col("term_id"))).over(phrase))
     heads = heads.filter(F.size("terms") == F.least(F.lit(words), F.col("size")))
     heads = heads.withColumn("rarest", F.array_min("terms")).filter("rarest.n > 0")
-    anchors = heads.select(
-        "item", F.col("rarest.at").alias("at"), F.col("rarest.term_id").alias("term_id")).distinct()
-    diagonals = index.join(anchors, "term_id").select(
+    anchors = stored(heads.select(
+        "item", F.col("rarest.at").alias("at"), F.col("rarest.term_id").alias("term_id")).distinct(),
+        "anchors")
+    diagonals = index.join(sent_if_small(anchors), "term_id").select(
         "row", "item", (F.col("pos") - F.col("at")).alias("shift")).distinct()
     # all terms of the item, moved to the diagonal, against the stored lists
     wanted = diagonals.join(items, "item").select(

@@ -35,6 +35,11 @@ OUTSIDE_NAMES = frozenset(
     "cookie cookies disqus footer header masthead menu modal nav navbar navigation newsletter "
     "notice notices popup promo promoted related reply replies respond search share sharing sidebar "
     "skip social sponsor sponsored subscribe toolbar widget".split())
+# tags that may stand around a whole page, its article included
+AROUND = frozenset(["form", "fieldset"])
+# tags that HTML ends without an end tag, so that one left open needn't hold what follows
+OPTIONAL_END = frozenset(
+    "p li dt dd option optgroup tr td th thead tbody tfoot colgroup caption rp rt".split())
 OPENERS = re.compile(r"[^a-z0-9]+")
 
 
@@ -62,10 +67,10 @@ def scan(page: str):
                marked and name not in ("html", "body"), name in VOID or attrs.endswith("/"))
 
 
-def closed_tags(items: list) -> set[int]:
-    """Places of the start tags that an end tag of their own closes."""
+def closed_tags(items: list) -> dict[int, int]:
+    """Places of the start tags that an end tag of their own closes, with the place of that."""
     stack: list[tuple[str, int]] = []
-    closed = set()
+    closed = {}
     for i, (text, name, _, is_end, _, is_void) in enumerate(items):
         if text is not None or is_void:
             continue
@@ -74,7 +79,7 @@ def closed_tags(items: list) -> set[int]:
             continue
         at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
         if at is not None:
-            closed.add(stack[at][1])
+            closed[stack[at][1]] = i
             del stack[at:]
     return closed
 
@@ -86,10 +91,28 @@ def marked_article(items: list) -> str | None:
     return next((name for name in ("article", "main") if n[name] == 1), None)
 
 
+def around_article(items: list, closed: dict[int, int], holder: str | None
+                   ) -> tuple[int, int, set[int]]:
+    """Start and end of the marked article, and the places of the start tags around it."""
+    if holder is None:
+        return -1, -1, set()
+    first = next(i for i, (_, name, _, is_end, marked, _) in enumerate(items)
+                 if name == holder and not is_end and not marked)
+    around = set()
+    for i in range(first):
+        text, name, _, is_end, _, is_void = items[i]
+        if text is None and not is_end and not is_void and (
+                closed[i] > first if i in closed else name not in OPTIONAL_END):
+            around.add(i)
+    return first, closed.get(first, len(items)), around
+
+
 def furniture(items: list, outside_keys: frozenset[str] = frozenset()) -> list[bool]:
     """For each item whether it is page furniture: in an element whose tag, names or learned kind
-    say so, or outside the one element that the page marks as its article."""
+    say so, or outside the one element that the page marks as its article.  Names and learned
+    kinds don't speak for elements that hold that article, nor for html and body."""
     closed, holder = closed_tags(items), marked_article(items)
+    around = around_article(items, closed, holder)[2]
     found = []
     stack: list[tuple[str, bool]] = []
     depth = in_article = 0          # furniture elements and article elements around this place
@@ -109,8 +132,10 @@ def furniture(items: list, outside_keys: frozenset[str] = frozenset()) -> list[b
                 in_article -= sum(n == holder for n, _ in stack[at:])
                 del stack[at:]
             continue
-        own = marked or key in outside_keys or (
-            name in OUTSIDE_TAGS and not (name == "header" and in_article))
+        own = name in OUTSIDE_TAGS and not (name == "header" and in_article) and not (
+            name in AROUND and i in around)
+        if i not in around and name not in ("html", "body"):
+            own = own or marked or key in outside_keys
         if own and i not in closed:
             found.append(True)
             open_ended = True
@@ -126,19 +151,25 @@ def furniture(items: list, outside_keys: frozenset[str] = frozenset()) -> list[b
 def tag_counts(page: str) -> dict[str, list[int]] | None:
     """Tags inside and outside the article of a labelled page, without those inside furniture
     known by its name, and under the empty key the words of the longest text outside; None for a
-    page that isn't labelled."""
+    page that isn't labelled.  Tags around the article are not outside: those with a class, id or
+    role count as inside, bare ones not at all."""
     items = list(scan(page))
     holder = marked_article(items)
     if holder is None:
         return None
     found: dict[str, list[int]] = {"": [0, 0]}
-    inside, hidden = False, []
-    for text, name, key, is_end, _, is_void in items:
+    first, last, around = around_article(items, closed_tags(items), holder)
+    hidden: list[str] = []
+    for i, (text, name, key, is_end, _, is_void) in enumerate(items):
+        inside = first < i < last
         if text is not None:
             if not inside:
                 found[""][1] = max(found[""][1], len(text.split()))
-        elif name == holder:
-            inside = not is_end
+        elif i in (first, last) or name in ("html", "body"):
+            continue
+        elif i in around:
+            if "." in key:
+                found.setdefault(key, [0, 0])[0] += 1
         elif hidden and not inside:
             if name == hidden[-1] and is_end:
                 hidden.pop()

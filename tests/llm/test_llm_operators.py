@@ -84,6 +84,25 @@ def test_page_text(spark):
     assert html_text.extract("<" * 20_000, {}) == "<" * 20_000
 
 
+def test_page_text_inside_named_wrappers(spark):
+    def page(text, wrapped=("<article>", "</article>")):
+        return ("<html class='js'><head><title>t</title></head><body class='home'><div id='page'>"
+                "<div class='bar'>top bar words</div><div class='content sidebar-right'><form id='whole' action='/'>"
+                f"<div role='document'>{wrapped[0]}<p>{text}</p>{wrapped[1]}</div></form></div>"
+                "<div class='bar'>bottom bar words</div></div></body></html>")
+
+    texts = {i: f"Text number {i} has some words of its own" for i in range(6)}
+    rows = [(i, "u", page(t)) for i, t in texts.items()]
+    rows += [(6, "u", page("left open").replace("</div></div></body></html>", "")),
+             (7, "u", "<body class='home'><div id='page'><div class='bar'>top</div><p>No article here</div>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.extract_pages(pages).collect()}
+    assert got == {**texts, 6: "left open", 7: "No article here"}
+    weights = html_text.learn_weights(pages)
+    assert weights["div.bar"] >= 0.75 * weights[""]
+    assert not {"html.js", "body.home"} & set(weights) and weights["div.page"] < 0.25
+
+
 def jaccard_groups(rows):
     sets, parent = [], list(range(len(rows)))
     for _, t in rows:

@@ -1,9 +1,10 @@
 """Quality rules: plain counts, and tokeniser fertility with rejection bands per language.
 
 A public vocabulary with byte fallback gives each text its characters per token, the share of
-byte tokens and the entropy of its tokens.  The bands come from all rows of the table: per
-language the quartiles widened by a multiple of their distance, never narrower than a floor, and
-wider for short texts, whose measures scatter more.
+byte tokens and the entropy of its tokens.  The bands come from all rows of the table that pass the
+plain counts: per language the quartiles widened by a multiple of their distance, never narrower
+than a floor, and wider for short texts, whose measures scatter more.  Entropy falls with the length
+of a text, so it is held against the line of its language through that length.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 MOST_SENT_BANDS = 100_000
 MEASURES = ["chars_per_token", "byte_share", "entropy_ratio"]
+BANDED = [*MEASURES[:2], "entropy_ratio_level"]
 SCHEMA = ("doc_id long, lang string, n_words long, word_chars long, n_symbols long, "
           "n_dup_lines long, n_repeat_words long, n_tokens long, chars_per_token double, "
           "byte_share double, entropy_ratio double")
@@ -118,14 +120,34 @@ def measures(docs: DataFrame, vocab: str | None = None, id_column: str = "doc_id
         F.col(text_column).cast("string").alias("text")).mapInArrow(run, SCHEMA)
 
 
+def sent(per_language: DataFrame, name: str) -> DataFrame:
+    """One row per language, sent to all tasks after a look at their count, so that no task gets all
+    rows of a frequent language."""
+    rows = stored(per_language, name)
+    return F.broadcast(rows) if rows.count() <= MOST_SENT_BANDS else rows
+
+
+def levelled(found: DataFrame) -> DataFrame:
+    """Adds ``entropy_ratio_level``: the entropy without the part that follows the length, by a line
+    per language over the logarithm of the tokens of the rows that pass the plain counts."""
+    length = F.log2(F.greatest(F.col("n_tokens"), F.lit(1)).cast("double"))
+    # rounded, so that the order in which rows are added up can't turn a verdict
+    slopes = found.filter("not base_failed and n_tokens > 0").groupBy("lang").agg(
+        F.round(F.regr_slope("entropy_ratio", length), 6).alias("slope"))
+    return found.join(sent(slopes, "slopes"), "lang", "left").withColumn(
+        "entropy_ratio_level", F.col("entropy_ratio") - F.coalesce("slope", F.lit(0.0)) * length
+    ).drop("slope")
+
+
 def bands(found: DataFrame, width: float = 2.0,
-          floors: tuple[float, float, float] = (0.09, 0.02, 0.2)) -> DataFrame:
-    """Per language and measure the quartiles of all rows with tokens, and the room that a text of
-    many tokens has on both sides: ``width`` times their distance or the floor, if that is more."""
-    quartiles = found.filter("n_tokens > 0").groupBy("lang").agg(*[
-        F.percentile_approx(m, [0.25, 0.75], 1000).alias(m) for m in MEASURES])
+          floors: tuple[float, float, float] = (0.05, 0.01, 0.04)) -> DataFrame:
+    """Per language and measure the quartiles of the rows that pass the plain counts, and the room
+    that a text of many tokens has on both sides: ``width`` times their distance or the floor, if
+    that is more."""
+    quartiles = found.filter("not base_failed and n_tokens > 0").groupBy("lang").agg(*[
+        F.percentile_approx(m, [0.25, 0.75], 1000).alias(m) for m in BANDED])
     out = [F.col("lang")]
-    for name, floor in zip(MEASURES, floors, strict=True):
+    for name, floor in zip(BANDED, floors, strict=True):
         low, high = F.col(name)[0], F.col(name)[1]
         room = F.greatest((high - low) * width, F.lit(floor))
         out += [low.alias(f"{name}_low"), high.alias(f"{name}_high"), room.alias(f"{name}_room")]
@@ -141,26 +163,22 @@ def judge_quality(docs: DataFrame, vocab: str | None = None, id_column: str = "d
     ``base_failed``: fewer than ``least_words`` words, or more than ``most_repeated`` percent of
     the words in repeated three-word windows.  ``kept``: not base_failed, and all three measures
     inside their language's band, whose room is widened by ``sqrt(full_tokens / n_tokens)`` for
-    texts of fewer tokens.  Empty and null texts have no words and fail.  Null ids and
+    texts of fewer tokens; entropy is levelled by length first.  Empty and null texts have no words and fail.  Null ids and
     repeated rows are judged like any other; ties in a band keep the row; an empty table gives an
     empty result; columns beyond id, text and language are not read.
     """
+    failed = (F.col("n_words") < least_words) | (
+        100 * F.col("n_repeat_words") > most_repeated * F.col("n_words"))
     found = stored(measures(docs, vocab, id_column, text_column, lang_column), "quality")
-    # one row per language: sent to all tasks after a look at their count, so that no task gets all
-    # rows of a frequent language
-    limits = stored(bands(found, width), "bands")
-    if limits.count() <= MOST_SENT_BANDS:
-        limits = F.broadcast(limits)
-    judged = found.join(limits, "lang", "left")
+    found = levelled(found.withColumn("base_failed", failed))
+    judged = found.join(sent(bands(found, width), "bands"), "lang", "left")
     wider = F.greatest(F.lit(1.0), F.sqrt(
         F.lit(float(full_tokens)) / F.greatest(F.col("n_tokens"), F.lit(1))))
     inside = F.lit(True)
-    for m in MEASURES:
+    for m in BANDED:
         room = F.col(f"{m}_room") * wider
         inside = inside & F.coalesce(F.col(m).between(
             F.col(f"{m}_low") - room, F.col(f"{m}_high") + room), F.lit(True))
-    failed = (F.col("n_words") < least_words) | (
-        100 * F.col("n_repeat_words") > most_repeated * F.col("n_words"))
     return judged.select(
         "doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        *MEASURES, failed.alias("base_failed"), (~failed & inside).alias("kept"))
+        *MEASURES, "base_failed", (~F.col("base_failed") & inside).alias("kept"))

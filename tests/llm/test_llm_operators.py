@@ -242,6 +242,25 @@ def test_quality(spark, corpus):
     assert quality.judge_quality(make_docs(spark, [])).count() == 0
 
 
+def test_quality_rejects_by_every_measure(spark):
+    rng = random.Random(11)
+    parts = ["the", "in", "er", "on", "an", "re", "th", "es", "ing", "en", "at", "ion", "ha", "nd", "or"]
+    pool = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 4))) for _ in range(3000)]
+
+    def prose(n):
+        return [pool[min(int(rng.paretovariate(0.4)) - 1, 2999)] for _ in range(n)]
+
+    texts = {i: " ".join(prose(rng.randint(100, 900))) for i in range(400)}
+    texts |= {1000 + i: " ".join(w + rng.choice(["&&&", "%%%", "***", "$$$"]) if rng.random() < 0.4 else w
+                                 for w in prose(300)) for i in range(10)}                 # symbols
+    texts |= {1100 + i: " | ".join(prose(200)) for i in range(10)}                        # broken tables
+    texts |= {1200 + i: " ".join(prose(400)) + " " + "\u16a0 \u16b1 " * 5 for i in range(10)}   # byte tokens
+    texts |= {1300 + i: " ".join(rng.sample(pool, 400)) for i in range(10)}               # no word twice
+    kept = {r.doc_id for r in quality.judge_quality(make_docs(spark, list(texts.items()))).filter("kept").collect()}
+    assert len([i for i in kept if i < 1000]) >= 392
+    assert [i for i in kept if i >= 1000] == []
+
+
 def luhn(number):
     return sum(d if i % 2 == 0 else 2 * d - 9 * (d > 4) for i, d in enumerate(map(int, reversed(number)))) % 10 == 0
 

@@ -4,8 +4,7 @@ Every long run of encoding characters is a candidate.  Its encoding is inferred
 alphabet that holds it), and three tests ask whether its characters could be drawn at random from
 that alphabet: chi-squared uniformity, runs above and below the middle of the alphabet, and serial
 correlation.  Fisher's sum joins them to one p-value.  Among candidates of like length, the step-up
-procedure rejects randomness with a bounded false-discovery rate; strings that keep it, and are long
-enough for the tests to have told text apart, are secrets.
+procedure rejects randomness with a bounded false-discovery rate; strings that keep it are secrets.
 """
 
 from __future__ import annotations
@@ -34,6 +33,8 @@ ALPHABETS = {
     "alnum": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
     "base64": "+/0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
     "base64url": "-0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ_abcdefghijklmnopqrstuvwxyz",
+    # runs that hold characters of both, such as a base64 key behind a prefix with a hyphen
+    "joint": "+-/0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ_abcdefghijklmnopqrstuvwxyz",
 }
 P_BINS = 400        # p-values are ranked in bins of a tenth of a power of ten
 
@@ -119,8 +120,7 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
         "bin", F.greatest(F.floor(F.log10("p") * 10), F.lit(-P_BINS)).cast("int"))
     cuts = non_random(tested, rate)
     chosen = tested.join(cuts, "band", "left").filter(
-        F.col("bin_cut").isNull() | (F.col("bin") > F.col("bin_cut"))).filter(
-        F.col("p") > rate / 10)
+        F.col("bin_cut").isNull() | (F.col("bin") > F.col("bin_cut")))
     empty = F.array().cast("array<struct<start:bigint,rank:int,end:bigint,kind:string>>")
     more = chosen.groupBy("row").agg(F.collect_list(entry).alias("more"))
     joined = found.select("row", "doc_id").join(base, "row", "left").join(more, "row", "left")

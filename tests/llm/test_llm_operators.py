@@ -335,6 +335,22 @@ def test_secrets(spark):
     assert secrets_scan.scan(make_docs(spark, [])).count() == 0
 
 
+def test_random_keys_are_all_judged(spark):
+    rng = random.Random(8)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+
+    def key(n):
+        return "7a" + "".join(rng.choice(letters) for _ in range(n - 2))
+
+    plain = {i: f"key {key(40)} end" for i in range(1500)}
+    joint = {2000 + i: f"key sk-7+x/{key(60)} end" for i in range(20)}
+    texts = [*plain.items(), *joint.items(), (3000, "see usr/share-doc/index_of/internationalisation-notes1 end")]
+    found = {r.doc_id: [s.kind for s in r.spans] for r in secrets_scan.scan(make_docs(spark, texts)).collect()}
+    assert sum(found[i] == ["random"] for i in plain) == len(plain)
+    assert sum(found[i] == ["random"] for i in joint) == len(joint)
+    assert found[3000] == []
+
+
 def contaminated(docs, items):
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from shelfcast.llm import (
-    binary_output, decontaminate, html_text, near_duplicates, packing, pii, quality, secrets_scan,
-    substring_dedup, url_rules,
+    binary_output, decontaminate, filter_audit, html_text, language_id, near_duplicates, packing, pii, quality,
+    secrets_scan, substring_dedup, url_rules, vector_codes,
 )
 from shelfcast.llm.common import table
 from shelfcast.session import scratch_path
@@ -178,3 +179,98 @@ SELECT w.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed,
   sha256(coalesce(k.text, '')) AS kept_sha256
 FROM words w LEFT JOIN lists USING (doc_id) LEFT JOIN kept k USING (doc_id)
 """
+
+
+@query
+def op11_language_id(spark, sf):
+    return language_id.languages(table(spark, sf, "documents"))
+
+
+@query
+def op12_vector_codes(spark, sf):
+    return vector_codes.product_codes(table(spark, sf, "embeddings"))
+
+
+def vector_codes_sql(parts: int = 4, width: int = 16, entries: int = 256, rounds: int = 4) -> str:
+    """One common table expression per assignment and per codebook."""
+    def assigned(i: int) -> str:
+        return (f"s{i} AS MATERIALIZED (SELECT x.vec_id, x.part, min((dist(x.v, c.v), c.entry)) AS best "
+                f"FROM x JOIN c{i} c USING (part) GROUP BY ALL)")
+
+    def moved(i: int) -> str:
+        sums = ", ".join(f"fdiv(sum(x.v[{j}])::BIGINT, count(*))" for j in range(1, width + 1))
+        return (f"m{i} AS (SELECT part, best[2] AS entry, [{sums}] AS v FROM s{i} JOIN x USING (vec_id, part) "
+                f"GROUP BY ALL), "
+                f"c{i + 1} AS MATERIALIZED (SELECT part, entry, coalesce(m.v, c.v) AS v "
+                f"FROM c{i} c LEFT JOIN m{i} m USING (part, entry))")
+    body = ", ".join(f"{assigned(i)}, {moved(i)}" for i in range(rounds))
+    # a macro can't be declared in one statement, so its text is put in
+    text = f"""
+WITH e AS MATERIALIZED (
+  SELECT vec_id, label, [floor(1024 * z::DOUBLE)::BIGINT FOR z IN embedding] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda z: z IS NULL OR NOT isfinite(z))) = 0),
+x AS MATERIALIZED (
+  SELECT vec_id, part, v[part * {width} + 1:part * {width} + {width}] AS v FROM e, range({parts}) t(part)),
+c0 AS MATERIALIZED (
+  SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, v FROM x
+  QUALIFY row_number() OVER (PARTITION BY part ORDER BY vec_id) <= {entries}),
+{body}, {assigned(rounds)},
+coded AS (
+  SELECT vec_id, string_agg(printf('%02x', best[2]), '' ORDER BY part) AS code,
+    sum(best[1])::BIGINT AS error FROM s{rounds} GROUP BY vec_id),
+digest AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) AS h FROM c{rounds})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+  h AS codebooks_sha256
+FROM coded JOIN e USING (vec_id), digest"""
+    square = "+".join(f"(x.v[{j}] - c.v[{j}]) * (x.v[{j}] - c.v[{j}])" for j in range(1, width + 1))
+    text = text.replace("dist(x.v, c.v)", square)
+    return re.sub(r"fdiv\((sum\(x\.v\[\d+\]\)::BIGINT), count\(\*\)\)",
+                  r"(\1 - (\1 % count(*) + count(*)) % count(*)) // count(*)", text)
+
+
+ORACLE["op12_vector_codes"] = vector_codes_sql()
+
+
+@query
+def op13_filter_audit(spark, sf):
+    return filter_audit.filter_interactions(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+ORACLE["op13_filter_audit"] = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (
+  SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic
+  FROM labels GROUP BY doc_id),
+m AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, map {
+    'A': len(w) < 200,
+    'B': 100 * len(list_distinct(w)) < 50 * len(w),
+    'C': 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text),
+    'D': regexp_matches(text, '[#$%&*|]'),
+    'E': doc_id > min(doc_id) OVER (PARTITION BY text)} AS f
+  FROM d LEFT JOIN l USING (doc_id)),
+cells AS (
+  SELECT part, f, count(*) AS n, count(*) FILTER (good) AS g, count(*) FILTER (toxic) AS t,
+    len(list_filter(map_values(f), lambda b: b)) AS n_fails FROM m GROUP BY ALL),
+letters(c) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+orders AS (
+  SELECT a.c || b.c || c.c || d.c || e.c AS o FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.c, b.c, c.c, d.c, e.c])) = 5),
+steps AS (SELECT o, step::INT AS step, o[step:step] AS c, o[1:step - 1] AS before FROM orders, range(1, 6) s(step)),
+marked AS (
+  SELECT part, o, step, c, n, g, t, f[c] AS fails, n_fails,
+    len(list_filter(string_split(before, ''), lambda b: b != '' AND f[b])) > 0 AS gone FROM cells, steps),
+counts AS (
+  SELECT part, o AS filter_order, step, c,
+    sum(n) FILTER (NOT gone AND NOT fails) AS kept, sum(n) FILTER (NOT gone AND fails) AS removed,
+    sum(n) FILTER (gone AND fails) AS redundant, sum(n) FILTER (fails AND n_fails = 1) AS unique_fails,
+    sum(g) FILTER (NOT gone AND fails) AS good_lost, sum(t) FILTER (NOT gone AND fails) AS toxic_lost
+  FROM marked GROUP BY ALL)
+SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed,
+  coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails,
+  coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+  coalesce(sum(removed) OVER (PARTITION BY part, c), 0)::BIGINT AS shapley
+FROM counts
+"""

@@ -6,15 +6,17 @@ import json
 import os
 import time
 
-from shelfcast.models.boosting import Params, boost
-from shelfcast.models.losses import Quantile
-from shelfcast.models.scoring import QuantileModel
-from shelfcast.operators import encode, horizon
-from shelfcast.plans import features as plans
-from shelfcast.registry import tables
+from pyspark.sql import functions as F
+
+from shelfcast.models import bins, leafwise, recursive, scoring
+from shelfcast.models.leafwise import Params
+from shelfcast.models.trees import TreeModel
+from shelfcast.operators import encode, horizon, reshape
+from shelfcast.plans import features as plans, forecast
+from shelfcast.registry import given, tables
 from shelfcast.registry.queries import QUERIES
 from shelfcast.session import local_session
-from shelfcast.sources.schemas import CATEGORY_COLUMNS, HORIZON_TRAIN_COLUMNS
+from shelfcast.sources.schemas import CATEGORY_COLUMNS, HORIZON_TRAIN_COLUMNS, QUANTILES
 
 HEADLINES = [
     "prepared_sales", "horizon_feature_table", "legacy_feature_table", "extended_feature_table",
@@ -39,19 +41,31 @@ def main() -> None:
         run(QUERIES[name](spark, folder))
         times[name] = round(time.perf_counter() - begin, 3)
 
-    # one round of quantile boosting over the full horizon-stacked training window
+    # the binned horizon-stacked training window, and one round of all nine quantiles with 128 leaves
     begin = time.perf_counter()
-    window = horizon.training_window(tables.features(spark, folder))
+    df = tables.features(spark, folder)
+    window = horizon.training_window(df)
     mapping = encode.build_mapping(window, CATEGORY_COLUMNS).cache()
-    rows = horizon.expand_horizons(window)
     sizes = {**encode.category_sizes(mapping), "target_wday": 7}
-    model = QuantileModel({}, HORIZON_TRAIN_COLUMNS, mapping, sizes)
-    train = model.vectors(rows).select("target", "features").persist()
-    n = train.count()
+    model = scoring.ForecastModel(TreeModel(HORIZON_TRAIN_COLUMNS, sizes, {}), mapping)
+    coded = model.encoded(horizon.expand_horizons(window))
+    members = scoring.quantile_members(QUANTILES, False)
+    binning = bins.fit(coded, HORIZON_TRAIN_COLUMNS, sizes, 64)
+    blocks = bins.blocks(coded, binning, sizes, "target", F.lit(1), ["store_id", "item_id", "d", "horizon_day"],
+                         len(members)).persist()
+    n = blocks.agg(F.sum("n")).first()[0]
     times["training_table"] = round(time.perf_counter() - begin, 3)
     begin = time.perf_counter()
-    boost(train, Quantile(0.5), HORIZON_TRAIN_COLUMNS, Params(rounds=1, depth=5))
-    times["boosting_round"] = round(time.perf_counter() - begin, 3)
+    model.trees = leafwise.train(blocks, binning, sizes, members, Params(rounds=1))
+    times["boosting_round_9_quantiles"] = round(time.perf_counter() - begin, 3)
+    begin = time.perf_counter()
+    run(model.score(reshape.repeat_horizons(forecast.anchors(df))))
+    times["scoring"] = round(time.perf_counter() - begin, 3)
+    begin = time.perf_counter()
+    run(recursive.recursive_forecast(
+        given.model(given.STEPS, given.STEP_FEATURES, spark),
+        recursive.seeds(plans.legacy_features(tables.prepared(spark, folder))), tables.calendar(spark, folder)))
+    times["recursion"] = round(time.perf_counter() - begin, 3)
 
     print(json.dumps({
         "metric": "headline_total", "value": round(sum(times.values()), 3), "unit": "sec",

@@ -5,118 +5,116 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.ml.functions import vector_to_array
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from shelfcast.models.boosting import Ensemble, Node
-from shelfcast.models.scoring import QuantileModel
+from shelfcast.models.bins import Binning, numbers, values
+from shelfcast.models.scoring import ForecastModel
+from shelfcast.models.trees import Tree, TreeModel, Walker
 from shelfcast.operators.ranking import top_per_group
 
+ROWS_AT_ONCE = 2048
 
-def leaf_paths(ensemble: Ensemble) -> list[tuple[float, dict[int, tuple[list, float]]]]:
-    """Every leaf as (scaled value, {feature: (conditions, share of rows kept)}).
 
-    A condition is (kind, bound, goes_left); the share is the product of child-to-parent row
-    counts over the path's splits on that feature.
+def leaf_paths(trees: list[Tree], binning: Binning) -> list[tuple[float, dict[int, tuple[np.ndarray, float]]]]:
+    """Every leaf as (value, {feature: (bins that lead to it, share of rows kept)}).
+
+    The share is the product of child-to-parent row counts over the path's splits on that feature.
     """
     leaves: list = []
-
-    def rows(node: Node, counts: list[int]) -> int:
-        if node.feature < 0:
-            return counts[node.leaf]
-        return rows(node.left, counts) + rows(node.right, counts)
-
-    def walk(node: Node, tree, path: dict) -> None:
-        if node.feature < 0:
-            leaves.append((ensemble.learning_rate * tree.values[node.leaf], path))
-            return
-        total = rows(node, tree.counts)
-        for child, left in ((node.left, True), (node.right, False)):
-            share = rows(child, tree.counts) / total if total else 0.0
-            tests, kept = path.get(node.feature, ([], 1.0))
-            test = ("in", node.left_categories, left) if node.left_categories is not None else (
-                "le", node.threshold, left)
-            walk(child, tree, {**path, node.feature: (tests + [test], kept * share)})
-    for tree in ensemble.trees:
-        walk(tree.nodes(), tree, {})
+    for tree in trees:
+        goes_left = Walker(tree, binning).goes_left
+
+        def walk(node: int, path: dict) -> None:
+            f = tree.feature[node]
+            if f < 0:
+                leaves.append((tree.value[node], path))
+                return
+            for child, left in ((tree.left[node], True), (tree.right[node], False)):
+                share = tree.cover[child] / tree.cover[node] if tree.cover[node] else 0.0
+                open_, kept = path.get(f, (np.ones(binning.width, bool), 1.0))
+                walk(child, {**path, f: (open_ & (goes_left[node] == left), kept * share)})
+        walk(0, {})
     return leaves
 
 
-def base_value(ensemble: Ensemble) -> float:
+def base_value(leaves: list) -> float:
     """Expected raw score over the training rows."""
-    return ensemble.start + sum(
-        value * float(np.prod([kept for _, kept in path.values()]))
-        for value, path in leaf_paths(ensemble))
+    return sum(value * float(np.prod([kept for _, kept in path.values()])) for value, path in leaves)
 
 
-def shapley_values(x: np.ndarray, leaves: list) -> np.ndarray:
-    """Path-dependent Shapley values of a batch of rows, one column per feature.
+def shapley_values(bins: np.ndarray, leaves: list) -> np.ndarray:
+    """Path-dependent Shapley values of a batch of rows, one row per feature.
 
     For one leaf the game is a product over its path's features: a known feature contributes 1
-    or 0 (the row meets its conditions or not), an unknown one its share of rows.  The weighted
+    or 0 (the row's bin leads to the leaf or not), an unknown one its share of rows.  The weighted
     sum over coalitions is the integral over t in [0, 1] of the product of
     (share + t * (known - share)) over the other features, a polynomial of low degree that
-    Gauss-Legendre quadrature integrates exactly.
+    Gauss-Legendre quadrature integrates exactly.  Products of all but one come from both ends.
     """
-    out = np.zeros(x.shape)
+    out = np.zeros(bins.shape)
     for value, path in leaves:
         features = list(path)
+        if not features:
+            continue
         nodes, weights = np.polynomial.legendre.leggauss(len(features) // 2 + 1)
         t, w = (nodes + 1.0) / 2.0, weights / 2.0
-        known, share = [], []
-        for f in features:
-            tests, kept = path[f]
-            hit = np.ones(len(x), dtype=bool)
-            for kind, bound, left in tests:
-                met = np.isin(x[:, f], bound) if kind == "in" else x[:, f] <= bound
-                hit &= met == left
-            known.append(hit.astype(float))
-            share.append(kept)
-        factors = [s + np.outer(k - s, t) for k, s in zip(known, share)]
+        known = [path[f][0][bins[f]].astype(float) for f in features]
+        share = [path[f][1] for f in features]
+        factors = [s + np.outer(t, k - s) for k, s in zip(known, share, strict=True)]
+        after = [np.ones(factors[0].shape)]
+        for factor in factors[:0:-1]:
+            after.append(after[-1] * factor)
+        before = np.ones(factors[0].shape)
         for i, f in enumerate(features):
-            product = np.ones((len(x), len(t)))
-            for j, factor in enumerate(factors):
-                if j != i:
-                    product = product * factor
-            out[:, f] += value * (known[i] - share[i]) * (product @ w)
+            out[f] += value * (known[i] - share[i]) * (w @ (before * after[len(features) - 1 - i]))
+            before = before * factors[i]
     return out
 
 
-def attributions(df: DataFrame, ensemble: Ensemble, keys: list[str],
-                 features: str = "features") -> DataFrame:
-    """Long (keys, feature, value, impact): the raw score is base value plus all impacts.
+def attributions(df: DataFrame, model: TreeModel, keys: list[str], members: list[str]) -> DataFrame:
+    """Long (keys, member, feature, value, impact) of rows that carry codes: a member's raw score is its base
+    value plus all impacts.
 
-    The tree walk runs on Arrow batches; leaf paths, bounded by the model's size, travel with
-    the task.
+    One pass over Arrow batches explains all members; leaf paths, bounded by the model's size,
+    travel with the task.
     """
-    leaves = leaf_paths(ensemble)
-    names = ensemble.features
-
-    def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            x = np.array(batch["_x"].tolist(), dtype=float).reshape(len(batch), len(names))
-            impact = shapley_values(x, leaves)
-            yield batch[keys].assign(_values=list(x), _impacts=list(impact))
-
-    narrow = df.select(*keys, vector_to_array(features).alias("_x"))
+    binning = model.binning()
+    leaves = {m: leaf_paths(model.trees[m], binning) for m in members}
+    n, names = len(model.features), model.features
+
+    def explain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for begin in range(0, whole.num_rows, ROWS_AT_ONCE):
+                batch = whole.slice(begin, ROWS_AT_ONCE)
+                columns = numbers(batch, range(len(keys), len(keys) + n))
+                bins = binning.matrix(columns)
+                flat = pa.array(np.stack(columns, axis=1).ravel(), from_pandas=True)
+                offsets = np.arange(0, batch.num_rows * n + 1, n, dtype=np.int32)
+                for m in members:
+                    impact = shapley_values(bins, leaves[m])
+                    yield pa.RecordBatch.from_arrays(
+                        [*batch.columns[:len(keys)], pa.array([m] * batch.num_rows),
+                         pa.ListArray.from_arrays(offsets, flat),
+                         pa.ListArray.from_arrays(offsets, pa.array(impact.T.ravel()))],
+                        [*keys, "member", "_values", "_impacts"])
+
+    narrow = df.select(*keys, *values(names, model.categories))
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keys).schema.fields)
-    wide = narrow.mapInPandas(explain, f"{fields}, _values array<double>, _impacts array<double>")
+    wide = narrow.mapInArrow(explain, f"{fields}, member string, _values array<double>, _impacts array<double>")
     labels = F.array(*[F.lit(n) for n in names])
-    return wide.select(*keys, F.inline(F.arrays_zip(
+    return wide.select(*keys, "member", F.inline(F.arrays_zip(
         labels.alias("feature"), F.col("_values").alias("value"),
         F.col("_impacts").alias("impact"))).alias("feature", "value", "impact"))
 
 
-def uncertainty_drivers(df: DataFrame, model: QuantileModel, keys: list[str], low: float,
+def uncertainty_drivers(df: DataFrame, model: ForecastModel, keys: list[str], low: float,
                         high: float, k: int = 3) -> DataFrame:
     """Features that widen the band between two quantiles most, per row of `df`."""
-    vectors = model.vectors(df).select(*keys, "features")
-    upper = attributions(vectors, model.ensembles[high], keys)
-    lower = attributions(vectors, model.ensembles[low], keys)
-    signed = upper.unionByName(lower.withColumn("impact", -F.col("impact")))
-    spread = signed.groupBy(*keys, "feature").agg(
-        F.first("value").alias("value"), F.sum("impact").alias("contribution"))
+    both = attributions(model.encoded(df), model.trees, keys, [str(low), str(high)])
+    sign = F.when(F.col("member") == str(high), 1.0).otherwise(-1.0)
+    spread = both.groupBy(*keys, "feature").agg(
+        F.first("value").alias("value"), F.sum(sign * F.col("impact")).alias("contribution"))
     return top_per_group(spread, keys, [F.desc("contribution"), F.asc("feature")], k)
 
 

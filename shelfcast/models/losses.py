@@ -2,18 +2,34 @@
 
 A loss gives the start value, the negative gradient a tree is fitted to, the value each leaf of
 that tree takes, and the loss of a row.  `f` is the raw score, which `link` turns into a forecast.
+`begin`, `slopes` and `losses` are the same over NumPy arrays, for training over blocks.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, functions as F
 
 from shelfcast.functions import metrics
 
 
 class Loss:
+    alpha = None            # leaves take this percentile of their residuals, or else a Newton step
+    log_link = False
+
+    def begin(self, mean: float) -> float:
+        """The start score from the mean target."""
+        return float(mean)
+
+    def slopes(self, y: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Negative gradient and curvature."""
+        raise NotImplementedError
+
+    def losses(self, y: np.ndarray, f: np.ndarray) -> np.ndarray:
+        raise NotImplementedError
+
     def start(self, y: Column) -> Column:
         """Aggregate: the best constant score."""
         raise NotImplementedError
@@ -40,6 +56,12 @@ class Quantile(Loss):
     alpha: float
     accuracy: int = 10_000
 
+    def slopes(self, y, f):
+        return np.where(y > f, self.alpha, self.alpha - 1.0), np.ones(len(y))
+
+    def losses(self, y, f):
+        return np.maximum(self.alpha * (y - f), (self.alpha - 1.0) * (y - f))
+
     def start(self, y):
         return F.percentile_approx(y, self.alpha, self.accuracy)
 
@@ -55,6 +77,12 @@ class Quantile(Loss):
 
 @dataclass(frozen=True)
 class Squared(Loss):
+    def slopes(self, y, f):
+        return 2.0 * (y - f), np.full(len(y), 2.0)
+
+    def losses(self, y, f):
+        return (y - f) ** 2
+
     def start(self, y):
         return F.avg(y)
 
@@ -74,6 +102,13 @@ class Asymmetric(Loss):
 
     penalty: float = 1.05   # fixed value
 
+    def slopes(self, y, f):
+        w = np.where(y > f, self.penalty, 1.0)
+        return 2.0 * w * (y - f), 2.0 * w
+
+    def losses(self, y, f):
+        return np.where(y > f, self.penalty, 1.0) * (y - f) ** 2
+
     def weight(self, y, f):
         return F.when(y > f, self.penalty).otherwise(1.0)
 
@@ -96,6 +131,18 @@ class Tweedie(Loss):
     """Tweedie deviance with a log link; the score is the log of the mean."""
 
     power: float = 1.15     # fixed value
+    log_link = True
+
+    def begin(self, mean):
+        return float(np.log(max(mean, 1e-6)))
+
+    def slopes(self, y, f):
+        low, high = np.exp((1.0 - self.power) * f), np.exp((2.0 - self.power) * f)
+        return y * low - high, -(1.0 - self.power) * y * low + (2.0 - self.power) * high
+
+    def losses(self, y, f):
+        return (-y * np.exp((1.0 - self.power) * f) / (1.0 - self.power)
+                + np.exp((2.0 - self.power) * f) / (2.0 - self.power))
 
     def start(self, y):
         return F.log(F.greatest(F.avg(y), F.lit(1e-6)))

@@ -1,22 +1,26 @@
 """Day-by-day forecasts that feed on their own output.
 
-The 28 days depend on each other, the series do not: every day is one DataFrame step over all
-series, whose rolling window travels along as an array column.
+The 28 days depend on each other, the series do not: a task takes a batch of series and runs all its days
+in one pass, with the rolling windows of the batch as one matrix.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from shelfcast.functions.scalars import tail_mean
-from shelfcast.models.scoring import QuantileModel
+from shelfcast.models.bins import numbers, values
+from shelfcast.models.scoring import ForecastModel
 from shelfcast.operators.ranking import last_rows
 from shelfcast.operators.summaries import padded_history
-from shelfcast.session import cut_lineage
 from shelfcast.sources.schemas import HORIZON, SERIES
 
 DAY = ["wday", "month", "snap_CA", "snap_TX", "snap_WI"]
-STEPS_PER_CHECKPOINT = 2   # a day reads its own output several times; longer chains multiply plans
+# days before the newest at which a rolling mean of the window begins; all end HORIZON before it
+ROLLING = {"roll_mean_7": 7 + HORIZON, "roll_mean_28": 2 * HORIZON}
 # fixed values: the fed-back sales are this mix of the quantiles' mean and the 75 % quantile
 MEAN_SHARE, HIGH_SHARE, HIGH = 0.7, 0.3, 0.75
 
@@ -41,38 +45,71 @@ def seeds(features: DataFrame, full: bool = False) -> DataFrame:
 
 
 def upcoming_days(starts: DataFrame, calendar: DataFrame, horizon: int = HORIZON) -> DataFrame:
-    """The calendar of the days from each start day on; past its end the last row repeats."""
+    """The calendar of the days from each start day on, one array per column; past its end the last
+    row repeats."""
     day = F.struct(*DAY)
     final = calendar.agg(F.max_by(day, "d")).scalar()
     days = starts.select("start_d").distinct().select(
         "start_d", F.explode(F.sequence("start_d", F.col("start_d") + horizon - 1)).alias("d"))
     dated = days.join(calendar.select("d", day.alias("day")), "d", "left").select(
         "start_d", "d", F.coalesce("day", final).alias("day"))
-    return dated.groupBy("start_d").agg(
-        F.array_sort(F.collect_list(F.struct("d", "day"))).alias("_days")
-    ).select("start_d", F.col("_days.day").alias("days"))
+    listed = dated.groupBy("start_d").agg(F.array_sort(F.collect_list(F.struct("d", "day"))).alias("_days"))
+    return listed.select("start_d", *[F.transform("_days", lambda x: x["day"][c].cast("double")).alias(f"days_{c}")
+                                      for c in DAY])
+
+
+def tail_means(window: np.ndarray, start: int, stop: int) -> np.ndarray:
+    """Mean of each row's known values between `start` and `stop` from the end, NaN without any."""
+    part = window[:, max(0, window.shape[1] - start):window.shape[1] - stop]
+    known = ~np.isnan(part)
+    n = known.sum(axis=1)
+    return np.where(n > 0, np.where(known, part, 0.0).sum(axis=1) / np.maximum(n, 1), np.nan)
 
 
-def recursive_forecast(model: QuantileModel, seeded: DataFrame, calendar: DataFrame,
+def aligned(lists: pa.Array, width: int) -> np.ndarray:
+    """Lists as rows that end together, NaN before shorter ones."""
+    offsets = lists.offsets.to_numpy()
+    size = np.diff(offsets)
+    flat = lists.values.to_numpy(zero_copy_only=False).astype(float)
+    out = np.full((len(lists), width), np.nan)
+    row = np.repeat(np.arange(len(lists)), size)
+    place = np.arange(offsets[0], offsets[-1]) - np.repeat(offsets[1:], size) + width
+    out[row, place] = flat[offsets[0]:offsets[-1]]
+    return out
+
+
+def recursive_forecast(model: ForecastModel, seeded: DataFrame, calendar: DataFrame,
                        horizon: int = HORIZON) -> DataFrame:
     """Packed predictions (series, kind, h, yhat) from `seeds`."""
-    rows = seeded.join(upcoming_days(seeded, calendar, horizon), "start_d")
-    codes = [f"{c}_code" for c in model.sizes]
-    fixed = [*SERIES, "kind", *codes, "sell_price", "price_norm", "days"]
-    state = cut_lineage(model.encoded(rows).select(
-        *fixed, "window", F.array().cast("array<array<double>>").alias("preds")))
-    n = len(model.quantiles)
+    rows = model.encoded(seeded.join(upcoming_days(seeded, calendar, horizon), "start_d"))
+    names = model.trees.features
+    moving = set(DAY) | set(ROLLING)
+    fixed = [n for n in names if n not in moving]
+    scorer = model.trees.scorer()
     high = model.quantiles.index(HIGH)
-    mean = F.aggregate("yhat", F.lit(0.0), lambda a, x: a + x) / n
-    for i in range(horizon):
-        today = state.select("*", *[F.col("days")[i][c].alias(c) for c in DAY],
-                             tail_mean("window", 35, 28).alias("roll_mean_7"),
-                             tail_mean("window", 56, 28).alias("roll_mean_28"))
-        fed_back = MEAN_SHARE * mean + HIGH_SHARE * F.col("yhat")[high]
-        state = model.score_encoded(today).select(
-            *fixed, F.concat("window", F.array(fed_back)).alias("window"),
-            F.concat("preds", F.array("yhat")).alias("preds"))
-        if (i + 1) % STEPS_PER_CHECKPOINT == 0 and i + 1 < horizon:
-            state = cut_lineage(state)
-    return state.select(*SERIES, "kind", F.posexplode("preds").alias("_pos", "yhat")).select(
+    width = 2 * HORIZON
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, begin = batch.num_rows, 3
+            columns = dict(zip(fixed, numbers(batch, range(begin, begin + len(fixed))), strict=True))
+            days = {c: aligned(batch.column(begin + len(fixed) + i), horizon) for i, c in enumerate(DAY)}
+            window = aligned(batch.column(batch.num_columns - 1), width)
+            found = np.empty((n, horizon, len(scorer.walkers)))
+            for h in range(horizon):
+                columns.update({c: x[:, h] for c, x in days.items()})
+                columns.update({c: tail_means(window, start, HORIZON) for c, start in ROLLING.items()})
+                yhat = scorer.forecasts([columns[c] for c in names])
+                fed_back = MEAN_SHARE * yhat.mean(axis=0) + HIGH_SHARE * yhat[high]
+                window = np.column_stack([window[:, 1:], fed_back])
+                found[:, h] = yhat.T
+            lists = pa.ListArray.from_arrays(
+                np.arange(0, found.size + 1, found.shape[2], dtype=np.int32), pa.array(found.ravel()))
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:3], pa.ListArray.from_arrays(
+                    np.arange(0, n * horizon + 1, horizon, dtype=np.int32), lists)], [*SERIES, "kind", "preds"])
+    picked = rows.select(*SERIES, "kind", *values(fixed, model.trees.categories), *[f"days_{c}" for c in DAY],
+                         F.col("window").cast("array<double>").alias("window"))
+    done = picked.mapInArrow(run, "store_id string, item_id string, kind string, preds array<array<double>>")
+    return done.select(*SERIES, "kind", F.posexplode("preds").alias("_pos", "yhat")).select(
         *SERIES, "kind", (F.col("_pos") + 1).alias("h"), "yhat")

@@ -1,15 +1,13 @@
-"""Category codes, training weights and feature vectors."""
+"""Category codes and training weights."""
 
 from __future__ import annotations
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from shelfcast.operators.ranking import numbered
 from shelfcast.sources.schemas import CATEGORY_COLUMNS
 
 BROADCAST_CODES = 200_000
-MISSING = -1.0   # stands for a missing number; no real feature is negative
 
 
 def weekday_mapping(spark) -> DataFrame:
@@ -32,21 +30,6 @@ def build_mapping(df: DataFrame, columns: list[str] = CATEGORY_COLUMNS) -> DataF
     return _codes(keyed)
 
 
-def build_ordered_mapping(df: DataFrame, columns: list[str], label: str) -> DataFrame:
-    """(column, value, code): codes in the order of the mean label of each value, ties by value.
-
-    A split of such a code as a number parts the values by what they predict, and does so in the
-    same way for three values as for three million.
-    """
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))
-                      for c in columns])
-    means = df.select(F.col(label).cast("double").alias("_y"), F.inline(cells)).dropna(
-        subset=["value"]).groupBy("column", "value").agg(F.coalesce(F.avg("_y"), F.lit(0.0)).alias("_y"))
-    # fixed width and above zero, so that the text sorts like the number
-    order = F.format_string("%030.9f", F.col("_y") + 1e12)
-    return _codes(means.withColumn("_key", F.concat_ws("\u0001", "column", order, "value")))
-
-
 def _codes(keyed: DataFrame) -> DataFrame:
     ranked = numbered(keyed, "_key", "_rn")
     first = ranked.groupBy("column").agg(F.min("_rn").alias("_first"))
@@ -96,28 +79,3 @@ def category_sizes(mapping: DataFrame) -> dict[str, int]:
     """Number of codes per column."""
     return {r["column"]: r["n"] for r in mapping.groupBy("column").agg(
         (F.max("code") + 1).alias("n")).collect()}
-
-
-def feature_array(features: list[str], sizes: dict[str, int]) -> Column:
-    """The same values as `assemble`, as a plain array expression."""
-    return F.array(*[
-        F.coalesce(F.col(f"{f}_code" if f in sizes else f).cast("double"), F.lit(MISSING))
-        for f in features])
-
-
-def assemble(df: DataFrame, features: list[str], sizes: dict[str, int],
-             out: str = "features") -> DataFrame:
-    """Feature vector in fixed order; missing numbers and codes are the sentinel.
-
-    Codes are split as numbers whatever their count, so they should come from
-    `build_ordered_mapping`.
-    """
-    columns = {}
-    for f in features:
-        source = f"{f}_code" if f in sizes else f
-        value = F.coalesce(F.col(source).cast("double"), F.lit(MISSING))
-        columns[f"_f_{f}"] = value.alias(f"_f_{f}", metadata={
-            "ml_attr": {"type": "numeric", "name": f}})
-    staged = df.select("*", *columns.values())
-    return VectorAssembler(inputCols=list(columns), outputCol=out, handleInvalid="keep") \
-        .transform(staged).drop(*columns)

@@ -36,9 +36,10 @@ def horizon_errors(df: DataFrame, actual: str, predictions: list[str],
         f"cum_rmse_{p}": F.sum(f"rmse_{p}").over(w) for p in predictions})
 
 
-def fold_metrics(df: DataFrame, actual: str, predicted: str, alpha: float = 0.5) -> DataFrame:
+def fold_metrics(df: DataFrame, actual: str, predicted: str, alpha: float = 0.5,
+                 by: list[str] = ["fold"]) -> DataFrame:
     """RMSE, MAE and weighted scaled pinball loss per fold."""
-    return df.groupBy("fold").agg(
+    return df.groupBy(*by).agg(
         metrics.rmse(actual, predicted).alias("rmse"),
         metrics.mae(actual, predicted).alias("mae"),
         metrics.weighted_scaled_pinball(actual, predicted, alpha).alias("wspl"))

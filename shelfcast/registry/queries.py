@@ -4,17 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from shelfcast.functions import metrics, scalars, series
-from shelfcast.models import boosting, explain, losses, recursive, scoring, trainers
-from shelfcast.models.boosting import Params
+from shelfcast.models import explain, losses, recursive, scoring, trainers, trees
+from shelfcast.models.leafwise import Params
 from shelfcast.operators import encode, horizon, lookup, ranking, reshape, summaries
 from shelfcast.plans import evaluation, features as plans, forecast, leaderboard as boards
 from shelfcast.plans import store as stores, submission as submissions
 from shelfcast.plans.preprocess import preprocess
-from shelfcast.registry import tables as t
+from shelfcast.registry import given, tables as t
 from shelfcast.session import cut_lineage, scratch_path, tune
 from shelfcast.sources import readers, starschema, writers
 from shelfcast.sources.schemas import QUANTILES
@@ -834,6 +833,8 @@ def submission_table(spark, sf):
 
 _MODELS: dict[tuple, object] = {}
 MODEL_QUANTILES = QUANTILES
+# Far below the defaults (50 rounds, 128 leaves): README.md gives the time that those take.
+SHORT = dict(rounds=6, leaves=32, learning_rate=0.3)
 
 
 def _once(spark, name, sf, build):
@@ -845,7 +846,7 @@ def _once(spark, name, sf, build):
 
 def _horizon_model(spark, sf):
     return _once(spark, "horizon", sf, lambda: scoring.train_horizon(
-        t.features(spark, sf), MODEL_QUANTILES, Params(rounds=2, depth=3, learning_rate=0.3)))
+        t.features(spark, sf), MODEL_QUANTILES, Params(**SHORT)))
 
 
 def _legacy(spark, sf):
@@ -853,21 +854,28 @@ def _legacy(spark, sf):
 
 
 def _recursive_model(spark, sf):
-    """Early stopping, bagging and feature sampling as in production."""
+    """Stops early on the newest 28 days."""
     return _once(spark, "recursive", sf, lambda: scoring.train_recursive(
-        _legacy(spark, sf), MODEL_QUANTILES,
-        Params(rounds=3, depth=3, learning_rate=0.3, bagging_share=0.8, bagging_every=5,
-               feature_share=0.8, patience=2, min_delta=1e-4), early_stop=True))
+        _legacy(spark, sf), MODEL_QUANTILES, Params(**SHORT, patience=3, min_delta=1e-4), early_stop=True))
 
 
 @query
 def quantile_model_losses(spark, sf):
     """Validation loss after every boosting round of each quantile."""
     model = _recursive_model(spark, sf)
-    rows = [(q, i + 1, loss) for q, e in model.ensembles.items() for i, loss in enumerate(e.history)]
+    rows = [(q, i + 1, loss) for q in model.quantiles
+            for i, loss in enumerate(model.trees.history[str(q)])]
     return spark.createDataFrame(rows, "quantile double, round int, loss double")
 
 
+@query
+def fold_model_losses(spark, sf):
+    """Loss per fold, horizon and quantile of quantile models trained for all folds at once."""
+    _, scored = scoring.train_folds(
+        t.features(spark, sf), 3, MODEL_QUANTILES, Params(rounds=2, leaves=16, learning_rate=0.5))
+    return t.rounded(scoring.fold_quantile_losses(scored, MODEL_QUANTILES))
+
+
 @query
 def direct_model_forecast(spark, sf):
     """Model forecasts of every series from both anchors, rescaled and widened."""
@@ -892,48 +900,50 @@ def recursive_model_forecast(spark, sf):
 
 @query
 def loss_comparison(spark, sf):
-    """Three folds of squared, asymmetric and Tweedie boosting through the pluggable trainer."""
-    df = t.features(spark, sf)
-    end = df.agg(F.max("d")).first()[0]
-    params = Params(rounds=2, depth=3, learning_rate=0.3, min_leaf_rows=100)
-    parts = None
-    for name, loss in (("squared", losses.Squared()), ("asymmetric", losses.Asymmetric()),
-                       ("tweedie", losses.Tweedie())):
-        scores = evaluation.cross_validate(
-            df, trainers.boosted(loss, params), end, folds=3).withColumn("loss", F.lit(name))
-        parts = scores if parts is None else parts.unionByName(scores)
-    return t.rounded(parts)
+    """Three folds of squared, asymmetric and Tweedie boosting, trained together."""
+    return t.rounded(trainers.compare_losses(
+        t.features(spark, sf), {"squared": losses.Squared(), "asymmetric": losses.Asymmetric(),
+                                "tweedie": losses.Tweedie()},
+        Params(rounds=3, leaves=16, learning_rate=0.3, min_leaf_rows=100)))
 
 
-@query
-def scenario_forecast(spark, sf):
-    """Every series' next 28 days rescored under changed prices and demand levels."""
-    model = _horizon_model(spark, sf)
-    cases = spark.createDataFrame(
+def _cases(spark):
+    return spark.createDataFrame(
         [("as_is", None, None), ("free", 0.0, None), ("busy", None, 20.0)],
         "scenario string, sell_price double, roll_mean_28_lag_28 double")
+
+
+def _what_if(model, spark, sf):
     steps = reshape.repeat_horizons(forecast.anchors(t.features(spark, sf)).filter(
         F.col("kind") == "forecast"))
-    scored = model.score(explain.scenarios(steps, cases, ["sell_price", "roll_mean_28_lag_28"]))
+    scored = model.score(explain.scenarios(steps, _cases(spark), ["sell_price", "roll_mean_28_lag_28"]))
     return t.rounded(scored.select(
-        *PAIR, "scenario", F.col("horizon_day").alias("h"), *[F.col("yhat")[i].alias(f"q{i}") for i in range(len(MODEL_QUANTILES))]))
+        *PAIR, "scenario", F.col("horizon_day").alias("h"),
+        *[F.col("yhat")[i].alias(f"q{i}") for i in range(len(model.quantiles))]))
+
+
+@query
+def scenario_forecast(spark, sf):
+    """Every series' next 28 days rescored under changed prices and demand levels."""
+    return _what_if(_horizon_model(spark, sf), spark, sf)
 
 
 @query
 def feature_importance(spark, sf):
-    return t.rounded(boosting.importance_table(spark, _horizon_model(spark, sf).ensembles))
+    model = _horizon_model(spark, sf).trees
+    return t.rounded(trees.importance(model.rows(spark), model.features))
+
+
+def _forecast_days(spark, sf):
+    return reshape.repeat_horizons(forecast.anchors(t.features(spark, sf)).filter(F.col("kind") == "forecast"))
 
 
 @query
 def feature_attribution(spark, sf):
     """Shapley values of both ends of the 95 % band for every day of every forecast."""
     model = _horizon_model(spark, sf)
-    key = [*PAIR, "horizon_day"]
-    rows = cut_lineage(model.vectors(reshape.repeat_horizons(forecast.anchors(
-        t.features(spark, sf)).filter(F.col("kind") == "forecast"))).select(*key, "features"))
-    low, high = (explain.attributions(rows, model.ensembles[q], key).withColumn("q", F.lit(q))
-                 for q in (0.025, 0.975))
-    return t.rounded(low.unionByName(high))
+    return t.rounded(explain.attributions(
+        model.encoded(_forecast_days(spark, sf)), model.trees, [*PAIR, "horizon_day"], ["0.025", "0.975"]))
 
 
 @query
@@ -951,24 +961,79 @@ def uncertainty_drivers(spark, sf):
         rows, model, [*PAIR, "horizon_day"], 0.025, 0.975))
 
 
-def fixed_tree(feature: int, cut: float, low: float, high: float) -> tuple[np.ndarray, ...]:
-    """Node arrays of a tree with one split."""
-    return (np.array([feature, -1, -1]), np.array([1, 1, 2]), np.array([2, 1, 2]),
-            np.array([cut, 0.0, 0.0]), np.array([0.0, low, high]))
-
+# ---- given trees: the same code on trees that SQL can repeat ---------------------------------
 
 @query
 def fixed_tree_scores(spark, sf):
-    """Every feature row scored by two ensembles of given trees, missing numbers as the sentinel."""
-    names = ["lag_28", "sell_price", "wday"]
-    tables = [(1.5, 0.5, [fixed_tree(0, 3.0, -4.0, 6.0), fixed_tree(2, 2.0, 1.0, -1.0)]),
-              (4.0, 1.0, [fixed_tree(1, 1000.0, 0.25, 2.5)])]
-    df = t.features(spark, sf)
-    yhat = scoring.scores(encode.feature_array(names, {}), tables)
-    return t.rounded(df.withColumn("yhat", yhat).select(
+    """Every feature row scored by two ensembles of given trees, missing numbers below all others."""
+    model = given.model(given.FIXED, ["lag_28", "sell_price", "wday"], spark).trees
+    scored = model.score(t.features(spark, sf))
+    return t.rounded(scored.select(
         *KEY, F.col("yhat")[0].alias("first"), F.col("yhat")[1].alias("second")))
 
 
+@query
+def given_tree_scores(spark, sf):
+    """Every feature row scored by three quantiles of given trees with missing values and categories."""
+    model = given.model(given.DAYS, given.DAY_FEATURES, spark)
+    scored = model.score(t.features(spark, sf).withColumn("horizon_day", F.lit(1)))
+    return t.rounded(scored.select(*KEY, *[F.col("yhat")[i].alias(f"q{i}") for i in range(3)]))
+
+
+@query
+def given_tree_scenarios(spark, sf):
+    """What-ifs of every series' next 28 days under given trees."""
+    return _what_if(given.model(given.DAYS, given.DAY_FEATURES, spark), spark, sf)
+
+
+@query
+def given_tree_recursion(spark, sf):
+    """Backtest and forecast of every series, day by day, under given trees."""
+    model = given.model(given.STEPS, given.STEP_FEATURES, spark)
+    packed = recursive.recursive_forecast(
+        model, recursive.seeds(_legacy(spark, sf)), t.calendar(spark, sf))
+    return t.rounded(packed.select(*PAIR, "kind", "h", *[F.col("yhat")[i].alias(f"q{i}") for i in range(3)]))
+
+
+def _refreshed(spark, sf):
+    model = given.model(given.DAYS, given.DAY_FEATURES, spark)
+    rows = model.encoded(t.features(spark, sf).withColumn("horizon_day", F.lit(1)))
+    return model, trees.refreshed(rows, model.trees, "sales")
+
+
+@query
+def given_tree_nodes(spark, sf):
+    """Rows that reach each node of given trees, and what its split takes off the squared error."""
+    _, table = _refreshed(spark, sf)
+    return t.rounded(table.select("member", "tree", "node", "feature", "cover", "gain"))
+
+
+@query
+def given_tree_importance(spark, sf):
+    """Gain per feature over all feature rows, averaged over the members."""
+    model, table = _refreshed(spark, sf)
+    return t.rounded(trees.importance(table, model.trees.features))
+
+
+@query
+def given_tree_attribution(spark, sf):
+    """Shapley values of every forecast day under given trees, weighed by all feature rows."""
+    model, table = _refreshed(spark, sf)
+    weighed = trees.TreeModel.from_rows(table, model.trees.features, model.trees.categories)
+    return t.rounded(explain.attributions(
+        model.encoded(_forecast_days(spark, sf)), weighed, [*PAIR, "horizon_day"], ["0.25", "0.75"]))
+
+
+@query
+def given_uncertainty_drivers(spark, sf):
+    """Top three features behind the band between two quantiles of given trees, per forecast day."""
+    model, table = _refreshed(spark, sf)
+    weighed = scoring.ForecastModel(
+        trees.TreeModel.from_rows(table, model.trees.features, model.trees.categories), model.mapping)
+    return t.rounded(explain.uncertainty_drivers(
+        _forecast_days(spark, sf), weighed, [*PAIR, "horizon_day"], 0.25, 0.75))
+
+
 @query
 def loss_terms(spark, sf):
     """Start, mean gradient, leaf step and mean loss of each loss per store, from a given score."""

@@ -1,4 +1,4 @@
-"""Boosting, scoring, recursion and attribution on small tables."""
+"""Scoring, recursion, attribution and evaluation on small tables."""
 
 from itertools import combinations
 from math import factorial
@@ -7,9 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shelfcast.models import explain, losses, recursive, scoring, trainers
-from shelfcast.models.boosting import Params, boost, importance_table
-from shelfcast.operators import encode
+from shelfcast.models import bins, explain, leafwise, losses, recursive, scoring, trainers
+from shelfcast.models.leafwise import Member, Params
 from shelfcast.plans import evaluation
 from shelfcast.sources.schemas import CATEGORY_COLUMNS, LEGACY_COLUMNS
 
@@ -22,48 +21,18 @@ def rows(spark):
     n = 900
     a, b, k = rng.random(n) * 10, rng.random(n), rng.integers(0, 4, n)
     y = a + 3.0 * (k == 2) + rng.exponential(2.0, n)
-    df = spark.createDataFrame(
-        [(int(i), float(a[i]), float(b[i]), int(k[i]), float(y[i])) for i in range(n)],
-        "id long, a double, b double, kind_code int, target double")
-    return encode.assemble(df, NAMES, {"kind": 4}).cache()
+    return spark.createDataFrame(
+        [(int(i), None if i % 9 == 0 else float(a[i]), float(b[i]), int(k[i]), float(y[i])) for i in range(n)],
+        "id long, a double, b double, kind_code int, target double").cache()
 
 
 @pytest.fixture(scope="module")
 def fitted(rows):
-    return boost(rows, losses.Quantile(0.8), NAMES, Params(rounds=6, depth=3, learning_rate=0.4),
-                 keys=["id"], track=True)
-
-
-def test_quantile_loss_falls_and_covers(rows, fitted):
-    assert all(b <= a + 1e-9 for a, b in zip(fitted.history, fitted.history[1:]))
-    assert fitted.history[-1] < 0.8 * fitted.history[0]
-    covered = fitted.predict(rows).agg(F.avg((F.col("target") <= F.col("yhat")).cast("double"))).first()[0]
-    assert abs(covered - 0.8) < 0.06
-
-
-def test_expression_and_tree_scoring_agree(rows, fitted):
-    df = fitted.predict(rows).withColumn("_x", F.array("a", "b", F.col("kind_code").cast("double")))
-    gap = df.select(F.max(F.abs(F.col("yhat") - fitted.expression("_x")))).first()[0]
-    assert gap < 1e-9
-
-
-def test_bagging_feature_sampling_and_early_stop(rows):
-    params = Params(rounds=12, depth=3, learning_rate=0.9, bagging_share=0.8, bagging_every=5,
-                    feature_share=0.67, patience=2, checkpoint_every=3)
-    train, valid = rows.filter("id % 3 > 0"), rows.filter("id % 3 = 0")
-    model = boost(train, losses.Quantile(0.5), NAMES, params, valid=valid, keys=["id"])
-    again = boost(train.repartition(5), losses.Quantile(0.5), NAMES, params, valid=valid, keys=["id"])
-    assert len(model.trees) == int(np.argmin(model.history)) + 1
-    assert all(len(t.used) == 2 for t in model.trees)
-    np.testing.assert_allclose(model.history[:1], again.history[:1], rtol=0.05)
-
-
-def test_save_and_load(spark, rows, fitted, tmp_path):
-    fitted.save(str(tmp_path / "m"))
-    back = type(fitted).load(spark, str(tmp_path / "m"), fitted.loss)
-    a = [r[0] for r in fitted.predict(rows).orderBy("id").select("yhat").collect()]
-    b = [r[0] for r in back.predict(rows).orderBy("id").select("yhat").collect()]
-    np.testing.assert_allclose(a, b)
+    params = Params(rounds=4, leaves=8, learning_rate=0.4)
+    binning = bins.fit(rows, NAMES, {"kind": 4}, params.max_bins)
+    blocks = bins.blocks(rows, binning, {"kind": 4}, "target", F.lit(1), ["id"], 2)
+    return leafwise.train(blocks, binning, {"kind": 4},
+                          [Member("0.2", losses.Quantile(0.2)), Member("0.8", losses.Quantile(0.8))], params)
 
 
 @pytest.mark.parametrize("loss", [losses.Squared(), losses.Asymmetric(), losses.Tweedie()])
@@ -76,12 +45,10 @@ def test_gradients_match_differences(spark, loss):
     if isinstance(loss, losses.Tweedie):
         bend = -(loss.gradient(y, f + h) - loss.gradient(y, f - h)) / (2 * h)
         assert df.select(F.max(F.abs(bend - loss.curvature(y, f)))).first()[0] < 1e-5
-
-
-@pytest.mark.parametrize("loss", [losses.Squared(), losses.Asymmetric(), losses.Tweedie()])
-def test_other_losses_fall(rows, loss):
-    model = boost(rows, loss, NAMES, Params(rounds=3, depth=3, learning_rate=0.3), track=True)
-    assert model.history[-1] < model.history[0]
+    ys, fs = np.array([0.0, 2.0, 5.0]), np.array([0.3, 0.7, 1.9])
+    both = df.select(loss.gradient(y, f), loss.value(y, f)).collect()
+    np.testing.assert_allclose(loss.slopes(ys, fs)[0], [r[0] for r in both])
+    np.testing.assert_allclose(loss.losses(ys, fs), [r[1] for r in both])
 
 
 def brute_force(x, leaves, width):
@@ -90,13 +57,8 @@ def brute_force(x, leaves, width):
         total = 0.0
         for v, path in leaves:
             p = v
-            for f, (tests, kept) in path.items():
-                if f in known:
-                    ok = all((x[f] in bound if kind == "in" else x[f] <= bound) == left
-                             for kind, bound, left in tests)
-                    p *= float(ok)
-                else:
-                    p *= kept
+            for f, (open_, kept) in path.items():
+                p *= float(open_[x[f]]) if f in known else kept
             total += p
         return total
     out = np.zeros(width)
@@ -110,20 +72,22 @@ def brute_force(x, leaves, width):
 
 
 def test_attribution_by_definition_and_additivity(rows, fitted):
-    leaves = explain.leaf_paths(fitted)
-    sample = np.array([[r["a"], r["b"], float(r["kind_code"])] for r in rows.orderBy("id").limit(12).collect()])
-    got = explain.shapley_values(sample, leaves)
-    for x, row in zip(sample, got):
-        np.testing.assert_allclose(row, brute_force(x, leaves, 3), atol=1e-9)
-    total = explain.attributions(rows, fitted, ["id"]).groupBy("id").agg(F.sum("impact").alias("s"))
-    raw = fitted.raw(rows, "features", "raw").join(total, "id")
-    gap = raw.select(F.max(F.abs(F.col("raw") - F.col("s") - explain.base_value(fitted)))).first()[0]
-    assert gap < 1e-9
-
-
-def test_importance_prefers_the_driver(spark, fitted):
-    table = importance_table(spark, {0.8: fitted}).collect()
-    assert table[0]["feature"] == "a" and len(table) == 3
+    binning = fitted.binning()
+    leaves = {m: explain.leaf_paths(fitted.trees[m], binning) for m in fitted.members}
+    sample = rows.orderBy("id").limit(12).toPandas()
+    columns = [sample[c].to_numpy(float) for c in ("a", "b", "kind_code")]
+    matrix = binning.matrix(columns)
+    raw = fitted.scorer().raw(matrix)
+    for i, m in enumerate(fitted.members):
+        got = explain.shapley_values(matrix, leaves[m])
+        for j in range(12):
+            np.testing.assert_allclose(got[:, j], brute_force(matrix[:, j], leaves[m], 3), atol=1e-9)
+        np.testing.assert_allclose(raw[i], got.sum(axis=0) + explain.base_value(leaves[m]), atol=1e-9)
+    table = explain.attributions(rows, fitted, ["id"], fitted.members).filter("id < 12").toPandas()
+    total = table.groupby(["member", "id"])["impact"].sum()
+    for i, m in enumerate(fitted.members):
+        np.testing.assert_allclose(total[m].to_numpy(), raw[i] - explain.base_value(leaves[m]), atol=1e-9)
+    assert table[(table["feature"] == "a") & (table["id"] == 0)]["value"].isna().all()
 
 
 def test_scenarios_override_only_given_values(spark):
@@ -146,44 +110,76 @@ def legacy_rows(spark, n=130):
         "roll_mean_28 double, snap_CA int, snap_TX int, snap_WI int")
 
 
-def test_recursion_follows_its_own_output(spark):
+def short(**more):
+    return Params(rounds=2, leaves=6, learning_rate=0.5, **more)
+
+
+def days(first, last):
+    return [(d, (d - 1) % 7 + 1, 1, 1, 0, 0) for d in range(first, last)]
+
+
+CALENDAR = "d int, wday int, month int, snap_CA int, snap_TX int, snap_WI int"
+
+
+def test_recursion_follows_its_own_output(spark, tmp_path):
     df = legacy_rows(spark)
-    model = scoring.train_recursive(df, [0.25, 0.5, 0.75], Params(rounds=2, depth=3, learning_rate=0.5))
-    calendar = spark.createDataFrame([(d, (d - 1) % 7 + 1, 1, 1, 0, 0) for d in range(1, 140)],
-                                     "d int, wday int, month int, snap_CA int, snap_TX int, snap_WI int")
+    fitted = scoring.train_recursive(df, [0.25, 0.5, 0.75], short())
+    fitted.save(str(tmp_path / "m"))
+    model = scoring.ForecastModel.load(spark, str(tmp_path / "m"), fitted.trees.members)
+    calendar = spark.createDataFrame(days(1, 140), CALENDAR)
     got = recursive.recursive_forecast(model, recursive.seeds(df), calendar)
     assert got.count() == 2 * 2 * 28
 
     sales = [r["sales"] for r in df.filter("item_id = 'I2'").orderBy("d").collect()][-84:]
-    mapped = {(r["column"], r["value"]): r["code"] for r in model.mapping.collect()}
+    mapped = {(r["column"], r["value"]): r["code"] for r in fitted.mapping.collect()}
     window = [float(x) for x in sales[56:]]
-
-    def walk(node, tree, x):
-        if node.feature < 0:
-            return tree.values[node.leaf]
-        left = x[node.feature] in node.left_categories if node.left_categories is not None else (
-            x[node.feature] <= node.threshold)
-        return walk(node.left if left else node.right, tree, x)
+    scorer = fitted.trees.scorer()
 
     def mean(v):
-        return float(np.mean(v)) if len(v) else -1.0
+        return float(np.mean(v)) if len(v) else np.nan
     want = []
     for i in range(28):
         d = min(131 + i, 139)
         codes = [mapped[c, v] for c, v in zip(CATEGORY_COLUMNS, ["I2", "D", "C", "S", "CA"])]
         x = [float(v) for v in [*codes, (d - 1) % 7 + 1, 1, 2.0, 1.0, mean(window[-35:-28]), mean(window[-56:-28]), 1, 0, 0]]
         assert len(x) == len(LEGACY_COLUMNS)
-        q = [max(0.0, e.start + e.learning_rate * sum(walk(t.nodes(), t, x) for t in e.trees))
-             for e in model.ensembles.values()]
+        q = scorer.forecasts([np.array([v]) for v in x])[:, 0]
         want.append(q)
         window.append(0.7 * float(np.mean(q)) + 0.3 * q[2])
-    rows = got.filter("item_id = 'I2' and kind = 'forecast'").orderBy("h").collect()
-    np.testing.assert_allclose([r["yhat"] for r in rows], want, atol=1e-9)
+    found = got.filter("item_id = 'I2' and kind = 'forecast'").orderBy("h").collect()
+    np.testing.assert_allclose([r["yhat"] for r in found], want, atol=1e-9)
+
+
+def test_recursion_is_one_stage_over_the_series(spark):
+    df = legacy_rows(spark)
+    model = scoring.train_recursive(df, [0.25, 0.5, 0.75], short())
+    plan = recursive.recursive_forecast(model, recursive.seeds(df), spark.createDataFrame(days(1, 170), CALENDAR))
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert text.count("MapInArrow") == 1
 
 
 def test_cross_validation_with_pluggable_trainer(spark):
     df = legacy_rows(spark)
-    table = evaluation.cross_validate(
-        df, trainers.boosted(losses.Squared(), Params(rounds=1, depth=2)), 130, folds=2)
+    table = evaluation.cross_validate(df, trainers.boosted(losses.Squared(), short(patience=1)), 130, folds=2)
     got = {r["fold"]: r for r in table.collect()}
     assert set(got) == {1, 2} and all(r["rmse"] >= r["mae"] > 0 for r in got.values())
+
+
+def test_losses_compared_over_folds_in_one_training(spark):
+    df = legacy_rows(spark)
+    table = trainers.compare_losses(df, {"s": losses.Squared(), "t": losses.Tweedie()}, short(), folds=2).collect()
+    got = {(r["loss"], r["fold"]): r for r in table}
+    assert set(got) == {("s", 1), ("s", 2), ("t", 1), ("t", 2)}
+    alone = {r["fold"]: r for r in trainers.compare_losses(
+        df.filter("d <= 130"), {"s": losses.Squared()}, short(), folds=2).collect()}
+    assert alone[1]["rmse"] == pytest.approx(got["s", 1]["rmse"])
+
+
+def test_validation_days_do_not_reach_training(spark):
+    df = legacy_rows(spark)
+    changed = df.withColumn("sales", F.when(F.col("d") > 102, F.col("sales") * 9).otherwise(F.col("sales"))) \
+        .withColumn("item_id", F.when(F.col("d") > 102, F.concat("item_id", F.lit("x"))).otherwise(F.col("item_id")))
+    a, b = (scoring.train_recursive(x, [0.5], short(), early_stop=True) for x in (df, changed))
+    assert a.trees.categories == b.trees.categories
+    for left, right in zip(a.trees.trees["0.5"], b.trees.trees["0.5"]):
+        assert (left.feature, left.value) == (right.feature, right.value)

@@ -5,7 +5,7 @@ import os
 import numpy as np
 import pytest
 
-from shelfcast.registry.oracle import ORACLE
+from shelfcast.registry.given_sql import ORACLE
 from shelfcast.registry.queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from shelfcast.registry.tables import FACTORS, REGIONS
-from shelfcast.sources.schemas import HORIZON_COLUMNS, QUANTILES, STORE_ROW_COLUMNS
+from shelfcast.sources.schemas import (
+    CATEGORY_COLUMNS, HORIZON_COLUMNS, LEGACY_HORIZON_COLUMNS, QUANTILES, STORE_ROW_COLUMNS)
 
 # name -> (CTEs it reads, body)
 CTES: dict[str, tuple[list[str], str]] = {}
@@ -373,12 +374,13 @@ oracle("department_rolling_means", "dept_roll", f"""
 SELECT store_id, dept_id, d, dept_daily_sales, {r('dept_roll_mean_28')}, {r('dept_roll_mean_7')} FROM dept_roll""")
 oracle("cumulative_sales", "naive", f"""
 SELECT {KEY}, CAST(sum(sales) OVER {RUN} AS BIGINT) AS cum_sales,
-  """ + ", ".join(r(f"sum(q{i}) OVER {RUN}", f"cum_q{i}") for i in (1, 4, 7)) + " FROM naive")
+  """ + ", ".join(r(f"sum(q{i}) OVER {RUN}", f"cum_q{i}") for i in range(9)) + " FROM naive")
 _srun = "(PARTITION BY store_id ORDER BY d ROWS UNBOUNDED PRECEDING)"
 oracle("store_cumulative_fan", "naive", f"""
 SELECT store_id, d, CAST(sum(s) OVER {_srun} AS BIGINT) AS cum_sales,
-  """ + ", ".join(r(f"sum(a{i}) OVER {_srun}", f"cum_q{i}") for i in (1, 4, 7)) + """
-FROM (SELECT store_id, d, sum(sales) AS s, sum(q1) AS a1, sum(q4) AS a4, sum(q7) AS a7 FROM naive GROUP BY ALL)""")
+  """ + ", ".join(r(f"sum(a{i}) OVER {_srun}", f"cum_q{i}") for i in range(9)) + """
+FROM (SELECT store_id, d, sum(sales) AS s, """ + ", ".join(f"sum(q{i}) AS a{i}" for i in range(9))
+       + " FROM naive GROUP BY ALL)")
 oracle("anchored_fan", "pred hist", f"""
 SELECT p.store_id, p.item_id, p.kind, p.h, round(q + 1e-9, 6) AS q, round(1e-9 + CASE WHEN p.kind = 'backtest' THEN b.early ELSE b.total END
   + sum(yhat) OVER (PARTITION BY p.store_id, p.item_id, p.kind, q ORDER BY h ROWS UNBOUNDED PRECEDING), 6) AS yhat
@@ -592,3 +594,29 @@ FROM (SELECT DISTINCT store_id, item_id FROM feat)""")
 oracle("training_file", "targets", """
 SELECT horizon_day, count(*) AS n, sum(target) AS target_sum, CAST(sum(target_wday) AS BIGINT) AS weekdays
 FROM targets GROUP BY horizon_day""")
+
+
+oracle("product_file", "daily", f"""
+SELECT item_id, {product_sql('item_id')} AS product_name, {product_sql('item_id')} AS name_in_csv,
+  CAST(sum(sales) AS BIGINT) AS units FROM daily GROUP BY item_id""")
+oracle("submission_file", "daily anchors", "SELECT k.item_id || '_' || k.store_id || '_' || x.suffix AS id, " + ", ".join(
+    f"CASE WHEN x.suffix = 'validation' THEN round(coalesce(a.lag_28, 0) + 1e-9, 6) ELSE 0.0::DOUBLE END AS \"F{i}\""
+    for i in range(1, 29)) + """
+FROM (SELECT DISTINCT item_id, store_id FROM daily) k CROSS JOIN (SELECT unnest(['validation', 'evaluation']) AS suffix) x
+LEFT JOIN anchors a ON a.store_id = k.store_id AND a.item_id = k.item_id AND a.kind = 'forecast'""")
+oracle("dataset_versions", "daily", """
+SELECT store_id, count(*) + count(*) FILTER (d % 2 = 0) AS n, 16 AS digits, true AS same, true AS grown
+FROM daily GROUP BY store_id""")
+cte("v1_rows", "ext", f"""
+  SELECT *, row_number() OVER {W} AS rn, sell_price / top AS price_norm
+  FROM (SELECT *, max(sell_price) OVER ({P}) AS top FROM ext) WHERE roll_mean_28 IS NOT NULL""")
+cte("v1_coded", "v1_rows", "SELECT *, count(*) OVER (PARTITION BY store_id, item_id) AS n_rows, " + ", ".join(
+    f"dense_rank() OVER (ORDER BY {c}) - 1 AS code_{c}" for c in CATEGORY_COLUMNS) + " FROM v1_rows")
+# a row has the horizons up to the number of rows after it, so the first h rows of a series are targets of none
+oracle("horizon_v1_vectors", "v1_coded", f"""
+SELECT store_id, item_id, CAST(h AS INTEGER) AS h, count(*) FILTER (rn + h <= n_rows) AS n,
+  sum(sales) FILTER (rn > h)::DOUBLE AS target, """ + ", ".join(
+    r((f"avg(code_{c})" if c in CATEGORY_COLUMNS else "avg(h)" if c == "horizon_day" else f'avg("{c}"::DOUBLE)')
+      + " FILTER (rn + h <= n_rows)", f'"x_{c}"') for c in LEGACY_HORIZON_COLUMNS) + """
+FROM v1_coded CROSS JOIN (SELECT unnest(range(1, 29)) AS h) GROUP BY store_id, item_id, h
+HAVING count(*) FILTER (rn + h <= n_rows) > 0""")

@@ -16,7 +16,7 @@ from shelfcast.plans.preprocess import preprocess
 from shelfcast.registry import given, tables as t
 from shelfcast.session import cut_lineage, scratch_path, tune
 from shelfcast.sources import readers, starschema, writers
-from shelfcast.sources.schemas import QUANTILES
+from shelfcast.sources.schemas import CATEGORY_COLUMNS, LEGACY_HORIZON_COLUMNS, QUANTILES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 KEY = ["store_id", "item_id", "d"]
@@ -423,17 +423,16 @@ def cumulative_sales(spark, sf):
     run = series.running(series.by_day())
     return t.rounded(t.naive_quantiles(spark, sf).select(
         *KEY, F.sum("sales").over(run).alias("cum_sales"),
-        *[F.sum(f"q{i}").over(run).alias(f"cum_q{i}") for i in (1, 4, 7)]))
+        *[F.sum(f"q{i}").over(run).alias(f"cum_q{i}") for i in range(len(QUANTILES))]))
 
 
 @query
 def store_cumulative_fan(spark, sf):
     """Running store totals of actuals and quantiles."""
-    daily = summaries.totals(t.naive_quantiles(spark, sf), ["store_id", "d"],
-                             ["sales", "q1", "q4", "q7"])
+    columns = ["sales", *[f"q{i}" for i in range(len(QUANTILES))]]
+    daily = summaries.totals(t.naive_quantiles(spark, sf), ["store_id", "d"], columns)
     run = series.running(series.by_day("store_id"))
-    return t.rounded(daily.select("store_id", "d", *[
-        F.sum(c).over(run).alias(f"cum_{c}") for c in ("sales", "q1", "q4", "q7")]))
+    return t.rounded(daily.select("store_id", "d", *[F.sum(c).over(run).alias(f"cum_{c}") for c in columns]))
 
 
 @query
@@ -1068,6 +1067,57 @@ def leaderboard_file(spark, sf):
     return t.rounded(readers.read_leaderboard(spark, path))
 
 
+@query
+def product_file(spark, sf):
+    """Product names written as JSON and as CSV, read back, and joined to the items' sales."""
+    path = scratch_path(tune(spark), "products")
+    names = named_items(spark, sf).select("item_id", "product_name")
+    names.write.json(f"{path}/names")
+    writers.write_csv(names, f"{path}/names.csv")
+    sold = starschema.daily_sales(spark, sf).groupBy("item_id").agg(F.sum("sales").alias("units"))
+    found = lookup.attach_product_names(sold, readers.read_products(spark, f"{path}/names"))
+    again = readers.read_products(spark, f"{path}/names.csv").select(
+        "item_id", F.col("product_name").alias("name_in_csv"))
+    return found.join(again, "item_id").select("item_id", "product_name", "name_in_csv", "units")
+
+
+@query
+def submission_file(spark, sf):
+    """Forecast medians of every series laid over the template, written as CSV and read back."""
+    path = scratch_path(tune(spark), "submission")
+    packed = t.raw_predictions(spark, sf).filter(F.col("kind") == "forecast")
+    predicted = packed.select(*PAIR, F.col("h").alias("d"), F.col("yhat")[forecast.MEDIAN].alias("yhat"))
+    writers.write_csv(submissions.submission(predicted, _template(spark, sf)), path)
+    days = ", ".join(f"F{i} double" for i in range(1, 29))
+    return t.rounded(spark.read.schema(f"id string, {days}").csv(path, header=True, mode="FAILFAST"))
+
+
+@query
+def dataset_versions(spark, sf):
+    """Whether the version of a written table stays, and changes as files join it; per store of the table."""
+    path = scratch_path(tune(spark), "versioned")
+    daily = starschema.daily_sales(spark, sf)
+    daily.write.parquet(path)
+    found = [stores.fingerprint(spark, path) for _ in range(2)]
+    daily.filter(F.col("d") % 2 == 0).write.mode("append").parquet(path)
+    found.append(stores.fingerprint(spark, path))
+    return spark.read.parquet(path).groupBy("store_id").agg(F.count(F.lit(1)).alias("n")).withColumns({
+        "digits": F.lit(len(found[0])), "same": F.lit(found[0] == found[1]), "grown": F.lit(found[1] != found[2])})
+
+
+@query
+def horizon_v1_vectors(spark, sf):
+    """Per series and horizon, the rows, the target's sum and the means of the first horizon model's 15 features."""
+    df = plans.legacy_features(t.prepared(spark, sf))
+    mapping = encode.build_mapping(df)
+    coded = encode.encode(df, mapping, sizes=encode.category_sizes(mapping))
+    stacked = horizon.expand_horizons(coded)
+    source = {c: f"{c}_code" for c in CATEGORY_COLUMNS}
+    return t.rounded(stacked.groupBy(*PAIR, F.col("horizon_day").alias("h")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("target").alias("target"),
+        *[F.avg(F.col(source.get(c, c)).cast("double")).alias(f"x_{c}") for c in LEGACY_HORIZON_COLUMNS]))
+
+
 @query
 def training_file(spark, sf):
     """Horizon rows written as the training CSV and read back, per horizon."""

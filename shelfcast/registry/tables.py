@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from hashlib import sha256
+from inspect import getsource
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from shelfcast.functions import series
 from shelfcast.plans import features as feature_plans
 from shelfcast.plans import forecast
 from shelfcast.plans.store import fingerprint
@@ -16,6 +20,8 @@ FACTORS = [0.1, 0.2, 0.6, 0.75, 1.0, 1.3, 1.5, 2.2, 3.0]
 SNAP_REGIONS = {"AFRICA": "snap_CA", "AMERICA": "snap_TX", "ASIA": "snap_WI"}
 SOURCES = ["lineitem", "part", "supplier", "nation", "region"]
 REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
+# changes with the code behind the feature table
+PLAN = sha256("".join(map(getsource, (feature_plans, series, starschema))).encode()).hexdigest()[:16]
 
 
 def sales(spark: SparkSession, sf: str) -> DataFrame:
@@ -33,10 +39,10 @@ def prepared(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def features(spark: SparkSession, sf: str) -> DataFrame:
-    """The feature table, written once per session and state of its source files, and read with the
-    columns and days that a query needs."""
+    """The feature table, written once per state of its source files and of the code that makes it, and
+    read with the columns and days that a query needs."""
     version = fingerprint(tune(spark), *[f"{sf}/{name}.parquet" for name in SOURCES])
-    path = f"{shared_dir(spark)}/features-{version}"
+    path = f"{shared_dir(spark)}/features-{version}-{PLAN}"
     return writers.build_if_missing(spark, path, lambda: feature_plan(spark, sf))
 
 

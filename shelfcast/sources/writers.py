@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -31,19 +32,33 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).csv(path, header=True)
 
 
+def _path(spark: SparkSession, path: str):
+    """A Hadoop path and the file system that holds it."""
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path.rstrip("/"))
+    return found, found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """True when a finished Spark output is at the path, whatever file system holds it."""
-    jvm = spark.sparkContext._jvm
-    done = jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + "/_SUCCESS")
-    return done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done)
+    done, files = _path(spark, path.rstrip("/") + "/_SUCCESS")
+    return files.exists(done)
 
 
 def build_if_missing(spark: SparkSession, path: str, build: Callable[[], DataFrame],
                      force: bool = False, write: Callable = write_features) -> DataFrame:
     """Read the table at the path; build and write it first when absent or forced.
 
-    Only a completed write counts as present, so a job that died half-way is redone.
+    A table is written beside the path and renamed when it is complete, so that a job that died half-way is
+    redone and of two jobs that start together the second one takes the first one's table.
     """
-    if force or not exists(spark, path):
+    if force:
         write(build(), path)
+    elif not exists(spark, path):
+        fresh = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
+        write(build(), fresh)
+        source, files = _path(spark, fresh)
+        target, _ = _path(spark, path)
+        if exists(spark, path) or not files.rename(source, target):
+            if not exists(spark, path):
+                raise RuntimeError(f"cannot put the table at {path}")
     return spark.read.parquet(path)

@@ -3,10 +3,11 @@
 Sketch: in round after round each element of a set is thrown into one of ``t`` bins; a bin keeps the
 first, least value that falls into it.  Rounds ``t`` to ``2t - 1`` throw everything into one bin
 each, so every bin is full at the end, and the share of equal bins of two sets concentrates around
-their similarity.  Bands of bins give buckets.  Documents with equal sets are one node.  In each
-bucket every node is compared with the bucket's first node in a fixed order; then, in buckets that
-still hold several components, all nodes of different components are compared, where sizes and
-sketches allow a link.  All links are confirmed on full sets.
+their similarity.  Bands of bins give buckets.  Documents with equal sets are one node.  Each node is
+compared with the first node, in a fixed order, of one of its buckets; then with those of its other
+buckets that are not in its component; then, in buckets that still hold several components, with all nodes of other
+components, where sizes and sketches allow a link, the likeliest pair of two components first.
+All links are confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -24,9 +25,9 @@ BINS = ROWS * BANDS
 SIG_LONGS = (BINS + 15) // 16     # four bits of every bin
 # equal four-bit bins of a pair at 0.75 are 195 +- 6.8 of 255; a pair below this many is passed over
 LEAST_EQUAL = 164
-# the finer sketch of nodes that are compared across components: 784 +- 13.6 of 1,024
-FINE_BINS = 1024
-LEAST_FINE = 723
+# the finer sketch of nodes that are compared across components: 1,568 +- 19.2 of 2,048
+FINE_BINS = 2048
+LEAST_FINE = 1482
 SKETCH = ("row long, doc_id long, text_key long, n long, set_key long, bands array<long>, "
           "sig array<long>")
 SEEDS = mix(np.arange(1, 2 * FINE_BINS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -177,14 +178,21 @@ def first_shared(a: str, b: str) -> Column:
                              F.col(f"{a}.band")), lambda same: same)
 
 
-def apart(buckets: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(bucket, band, node, root, n, sig, bands) of the buckets with more than one component."""
+def apart(buckets: DataFrame, roots: DataFrame) -> DataFrame:
+    """(bucket, band, node, root) of the buckets with more than one component."""
     rooted = buckets.join(roots, "node", "left").select(
         "bucket", "band", "node", F.coalesce("root", "node").alias("root"))
     several = rooted.groupBy("bucket").agg(
         F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high")
-    return stored(rooted.join(several.select("bucket"), "bucket", "left_semi").join(
-        nodes.select(F.col("set_key").alias("node"), "n", "sig", "bands"), "node"), "apart")
+    return stored(rooted.join(several.select("bucket"), "bucket", "left_semi"), "apart")
+
+
+def across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs (hub, node) of different components, with their roots; a node without links is its own."""
+    a, b = (roots.select(F.col("node").alias(n), F.col("root").alias(f"{n}_root")) for n in ("hub", "node"))
+    rooted = pairs.join(a, "hub", "left").join(b, "node", "left").withColumns({
+        f"{n}_root": F.coalesce(f"{n}_root", n) for n in ("hub", "node")})
+    return rooted.filter("hub_root != node_root")
 
 
 def fine_sketches(texts: DataFrame) -> DataFrame:
@@ -232,25 +240,43 @@ def labelled(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     buckets = stored(member.join(first.select("bucket", "hub"), "bucket").select(
         "bucket", "band", "node", "n", F.col("hub.node").alias("hub"),
         F.col("hub.n").alias("hub_n")), "buckets")
-    tried = stored(buckets.filter("node != hub").filter(
-        like_sizes(F.col("n"), F.col("hub_n"), percent)).select("hub", "node").distinct(), "tried")
-    links = stored(confirmed(tried, nodes, docs, id_column, text_column, percent), "links")
+    hubs = stored(buckets.filter("node != hub").filter(
+        like_sizes(F.col("n"), F.col("hub_n"), percent)).select("hub", "node").distinct(), "hubs")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        return stored(confirmed(pairs, nodes, docs, id_column, text_column, percent), "links")
+
+    # one hub of each node, then its other hubs if they are in another component
+    tried = stored(hubs.groupBy("node").agg(F.min("hub").alias("hub")).select("hub", "node"), "tried")
+    links = linked(tried)
+    others = stored(across(hubs.join(tried, ["hub", "node"], "left_anti"), components(links)).select(
+        "hub", "node"), "tried")
+    links = links.union(linked(others))
     roots = components(links)
 
     # buckets that still hold several components: all pairs across them that sketches allow
-    still = apart(buckets, roots, nodes)
+    still = apart(buckets, roots)
     fine = fine_sketches(texts_of(still.select(F.col("node").alias("set_key")), nodes, docs,
                                   id_column, text_column))
-    still = stored(still.join(fine, "node"), "fine")
+    wide = stored(nodes.select(F.col("set_key").alias("node"), "n", "sig", "bands").join(fine, "node"), "fine")
+    still = stored(still.join(wide, "node"), "apart")
+    equal = equal_fine("a", "b")
     pairs = still.alias("a").join(
         still.alias("b"), (F.col("a.bucket") == F.col("b.bucket"))
         & (F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root"))
         & like_sizes(F.col("a.n"), F.col("b.n"), percent)
         & (equal_bins("a", "b") >= LEAST_EQUAL) & first_shared("a", "b")
-        & (equal_fine("a", "b") >= LEAST_FINE)).select(
-        F.col("a.node").alias("hub"), F.col("b.node").alias("node"))
-    rest = stored(pairs.join(tried, ["hub", "node"], "left_anti"), "rest")
-    more = confirmed(rest, nodes, docs, id_column, text_column, percent)
+        & (equal >= LEAST_FINE)).select(
+        F.col("a.node").alias("hub"), F.col("b.node").alias("node"), equal.alias("equal"),
+        F.least("a.root", "b.root").alias("low"), F.greatest("a.root", "b.root").alias("high"))
+    rest = stored(pairs.join(tried.union(others), ["hub", "node"], "left_anti"), "rest")
+    # the likeliest pair of two components may make the others needless
+    likely = rest.groupBy("low", "high").agg(F.max_by(
+        F.struct("hub", "node"), F.struct("equal", "hub", "node")).alias("pair")).select("pair.hub", "pair.node")
+    likely = stored(likely, "likely")
+    links = links.union(linked(likely))
+    rest = across(rest.select("hub", "node").join(likely, ["hub", "node"], "left_anti"), components(links))
+    more = confirmed(stored(rest.select("hub", "node"), "rest"), nodes, docs, id_column, text_column, percent)
     roots = components(links.union(more))
 
     least = roots.join(nodes.select(F.col("set_key").alias("node"), "least"), "node").groupBy(

@@ -9,18 +9,19 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|iframe|svg|object|math)\b[^>]*>"
-    r".*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^\"'>]++|\"[^\"]*\"|'[^']*')*+)>"
-    r"|<(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)>"
-    r"|<[!?/][^>]*(?:>|\Z)"
-    r"|(?P<text>[^<]+|<)", re.S | re.I)
+TAG = re.compile(r"</?[a-zA-Z]")
+NAME_END = re.compile(r"[\s/>]")
+QUOTE_OR_END = re.compile(r"[\"'>]")
+# elements whose content is no text of the page
+RAW_END = {name: re.compile(rf"</{name}\s*>", re.I)
+           for name in ("script", "style", "template", "textarea", "iframe")}
+ZEROS = re.compile(r"&#0{20,}")
+HUGE = re.compile(r"&#[0-9]{1000,};?")
 MARKED = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 BLOCKS = frozenset(
     "address article aside blockquote body caption dd details dialog div dl dt fieldset figcaption "
@@ -51,36 +52,104 @@ def kind(name: str, attrs: str) -> tuple[str, bool]:
     return key, any(w in OUTSIDE_NAMES for w in words)
 
 
+class TagEnds:
+    """Ends of a page's tags, found in time proportional to the page however it is broken.
+
+    A ">" inside quotes doesn't end a tag, unless the quotes leave none to end it: then the next
+    ">" does.  Quotes from which no end was found are remembered and not followed again.
+    """
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last = page.rfind(">")
+        self.name_end = -1
+        self.special = -1
+        self.dead: set[int] = set()
+
+    def find(self, at: int) -> tuple[int, int]:
+        """For a tag whose name starts at this place: the ends of its name and of its attributes;
+        (-1, -1) if nothing ends it.  Places must not go back from call to call."""
+        if at > self.last:
+            return -1, -1
+        if self.name_end < at:
+            self.name_end = NAME_END.search(self.page, at).start()
+        end = self._outside_quotes(self.name_end)
+        return self.name_end, end if end >= 0 else self.page.find(">", self.name_end)
+
+    def _outside_quotes(self, at: int) -> int:
+        if self.special < at:
+            self.special = QUOTE_OR_END.search(self.page, at).start()
+        place, followed = self.special, []
+        while self.page[place] != ">":
+            if place in self.dead:
+                break
+            followed.append(place)
+            closing = self.page.find(self.page[place], place + 1)
+            if closing < 0 or closing >= self.last:
+                break
+            place = QUOTE_OR_END.search(self.page, closing + 1).start()
+        else:
+            return place
+        self.dead.update(followed)
+        return -1
+
+
 def scan(page: str):
     """Items of a page: (text, None, ...) or (None, name, key, is_end, is_furniture, is_void)."""
-    for m in TOKEN.finditer(page):
-        if m["text"] is not None:
-            yield m["text"], None, None, False, False, False
+    ends = TagEnds(page)
+    at, size = 0, len(page)
+    while at < size:
+        if page[at] != "<":
+            then = page.find("<", at)
+            then = size if then < 0 else then
+            yield page[at:then], None, None, False, False, False
+            at = then
             continue
-        name = m["name"] or m["name2"]
-        if name is None:
+        if page.startswith("<!--", at):
+            then = page.find("-->", at + 4)
+            at = size if then < 0 else then + 3
+            continue
+        tag = TAG.match(page, at)
+        name_end, end = ends.find(tag.end() - 1) if tag else (-1, -1)
+        if end < 0:
+            if page[at + 1:at + 2] in ("!", "?", "/"):
+                then = page.find(">", at)
+                at = size if then < 0 else then + 1
+            else:
+                yield "<", None, None, False, False, False
+                at += 1
+            continue
+        is_end = page[at + 1] == "/"
+        name = page[tag.end() - 1:name_end].lower()
+        attrs = page[name_end:end]
+        at = end + 1
+        if name in RAW_END and not is_end:
+            closing = RAW_END[name].search(page, at)
+            at = closing.end() if closing else size
             continue
-        name = name.lower()
-        attrs = m["attrs"] or m["attrs2"] or ""
         key, marked = kind(name, attrs)
-        yield (None, name, key, bool(m["end"] or m["end2"]),
-               marked and name not in ("html", "body"), name in VOID or attrs.endswith("/"))
+        yield (None, name, key, is_end, marked and name not in ("html", "body"),
+               name in VOID or attrs.endswith("/"))
 
 
 def closed_tags(items: list) -> dict[int, int]:
     """Places of the start tags that an end tag of their own closes, with the place of that."""
     stack: list[tuple[str, int]] = []
+    n_open: Counter[str] = Counter()
     closed = {}
     for i, (text, name, _, is_end, _, is_void) in enumerate(items):
         if text is not None or is_void:
             continue
         if not is_end:
             stack.append((name, i))
-            continue
-        at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
-        if at is not None:
-            closed[stack[at][1]] = i
-            del stack[at:]
+            n_open[name] += 1
+        elif n_open[name]:
+            while True:
+                opened, start = stack.pop()
+                n_open[opened] -= 1
+                if opened == name:
+                    break
+            closed[start] = i
     return closed
 
 
@@ -114,7 +183,8 @@ def furniture(items: list, outside_keys: frozenset[str] = frozenset()) -> list[b
     closed, holder = closed_tags(items), marked_article(items)
     around = around_article(items, closed, holder)[2]
     found = []
-    stack: list[tuple[str, bool]] = []
+    stack: list[tuple[str, bool, bool]] = []
+    n_open: Counter[str] = Counter()
     depth = in_article = 0          # furniture elements and article elements around this place
     open_ended = False              # in furniture that is never closed: lasts to the next block
     for i, (text, name, key, is_end, marked, is_void) in enumerate(items):
@@ -126,11 +196,13 @@ def furniture(items: list, outside_keys: frozenset[str] = frozenset()) -> list[b
             continue
         if is_end:
             found.append(shut)
-            at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
-            if at is not None:
-                depth -= sum(o for _, o in stack[at:])
-                in_article -= sum(n == holder for n, _ in stack[at:])
-                del stack[at:]
+            while n_open[name]:
+                opened, was_own, was_article = stack.pop()
+                n_open[opened] -= 1
+                depth -= was_own
+                in_article -= was_article
+                if opened == name:
+                    break
             continue
         own = name in OUTSIDE_TAGS and not (name == "header" and in_article) and not (
             name in AROUND and i in around)
@@ -141,9 +213,11 @@ def furniture(items: list, outside_keys: frozenset[str] = frozenset()) -> list[b
             open_ended = True
             continue
         if i in closed or name == holder:
-            stack.append((name, own))
+            own_article = name == holder and not marked
+            stack.append((name, own, own_article))
+            n_open[name] += 1
             depth += own
-            in_article += name == holder and not marked
+            in_article += own_article
         found.append(shut or own)
     return found
 
@@ -211,6 +285,11 @@ def learn_weights(pages: DataFrame, html_column: str = "html", id_column: str =
         r.key: 0.01 + most * (r.n_out / (r.n_in + r.n_out)) ** 2 for r in rows if r.key}
 
 
+def decoded(text: str) -> str:
+    """Text with its character references decoded; numbers too long to read are no character."""
+    return entities.unescape(HUGE.sub("\ufffd", ZEROS.sub("&#0", text)))
+
+
 def extract(page: str | None, weights: dict[str, float]) -> str:
     """Main text of one page."""
     if not page:
@@ -240,7 +319,7 @@ def extract(page: str | None, weights: dict[str, float]) -> str:
     held: list[str] = []
 
     def flush():
-        block = " ".join(entities.unescape("".join(held)).split())
+        block = " ".join(decoded("".join(held)).split())
         if block:
             blocks.append(block)
         held.clear()

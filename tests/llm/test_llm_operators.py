@@ -6,6 +6,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -84,6 +85,34 @@ def test_page_text(spark):
     assert html_text.extract("<" * 20_000, {}) == "<" * 20_000
 
 
+def test_broken_pages_take_time_in_proportion():
+    def seconds(page):
+        start = time.perf_counter()
+        html_text.extract(page, {})
+        return time.perf_counter() - start
+
+    for piece in ("<a", '<a b="', "<a b='\"", "<a '>'", "<script", "</b", "<b></i>", "<!-", "<a b=\"'><"):
+        assert seconds(piece * (200_000 // len(piece))) < 5, piece
+    assert seconds("<b>" * 50_000 + "</i>" * 50_000) < 5
+    assert seconds("<b" * 100_000 + ">") < 5
+
+
+def test_tags_end_outside_quotes_if_they_can():
+    names = lambda page: [i[1] or i[0] for i in html_text.scan(page)]
+    assert names('<a b="x>y">z</a>') == ["a", "z", "a"]
+    assert names('<a b="x>y') == ["a", "y"]                       # no end outside quotes
+    assert names("<a <b") == ["<", "a ", "<", "b"]
+    assert names("<script>a</p>b</SCRIPT >c") == ["c"]
+    assert names("x<!-- <p> -->y<!doctype html>z</>") == ["x", "y", "z"]
+
+
+def test_formulas_and_numbers_of_an_article_stay():
+    page = ("<body><article><p>Area <math><mi>r</mi></math> and <svg><text>label</text></svg> one two"
+            " three &#000000000000000000000000065; &#" + "9" * 5000 + ";</p>"
+            "<article class='comment'><p>no</p></article><p>last words here</p></article></body>")
+    assert html_text.extract(page, {}) == "Area r and label one two three A \ufffd\n\nlast words here"
+
+
 def test_page_text_inside_named_wrappers(spark):
     def page(text, wrapped=("<article>", "</article>")):
         return ("<html class='js'><head><title>t</title></head><body class='home'><div id='page'>"

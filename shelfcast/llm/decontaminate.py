@@ -3,8 +3,8 @@
 The index holds, for every term of the benchmark, its postings (document, position) in all
 documents.  Each phrase is looked up by its rarest term; a posting of it fixes the diagonal
 (position in the document minus position in the item) on which the phrase would lie.  The lists of
-the item's other terms are shifted to that diagonal and intersected; unbroken runs of at least a
-phrase are exact matches.
+the item's terms around that place are shifted to that diagonal and intersected; unbroken runs of at
+least a phrase are exact matches.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from shelfcast.llm.common import ascii_lower, stored
 
 TERM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BROADCAST_TERMS = 500_000
+CELL = 128          # places of an item that are looked up together, at least
 END = ""            # the posting of this term is a document's number of words
 
 
@@ -66,10 +67,16 @@ def phrase_hits(index: DataFrame, items: DataFrame, words: int = 13) -> DataFram
     anchors = stored(heads.select(
         "item", F.col("rarest.at").alias("at"), F.col("rarest.term_id").alias("term_id")).distinct(),
         "anchors")
+    # a phrase lies less than its length from its anchor: only cells of the item that reach there
+    # are looked up, so that a posting costs the same in an item of any length
+    width = max(CELL, words)
+    cell = F.floor(F.col("at") / width)
     diagonals = index.join(sent_if_small(anchors), "term_id").select(
-        "row", "item", (F.col("pos") - F.col("at")).alias("shift")).distinct()
-    # all terms of the item, moved to the diagonal, against the stored lists
-    wanted = diagonals.join(items, "item").select(
+        "row", "item", (F.col("pos") - F.col("at")).alias("shift"), F.explode(F.sequence(
+            F.floor(F.greatest(F.col("at") - (words - 1), F.lit(0)) / width),
+            F.floor((F.col("at") + words - 1) / width))).alias("cell")).distinct()
+    # the terms of these cells, moved to the diagonal, against the stored lists
+    wanted = diagonals.join(items.withColumn("cell", cell), ["item", "cell"]).select(
         "row", "item", "item_id", "size", "shift", "at", "term_id",
         (F.col("at") + F.col("shift")).alias("pos")).filter("pos >= 0")
     met = wanted.join(index.select("row", "pos", "term_id"), ["row", "pos", "term_id"])

@@ -418,6 +418,19 @@ def test_contamination(spark, corpus):
     assert decontaminate.contamination(make_docs(spark, []), bench).count() == 0
 
 
+def test_contamination_by_a_long_item(spark):
+    """Phrases inside, across and at the ends of the cells of an item; a word that stands everywhere."""
+    rng = random.Random(8)
+    long = ["the" if i % 5 == 0 else f"w{rng.randrange(60)}" for i in range(700)]
+    docs = [(n, " ".join(["x", "the", *long[at:at + size], "the", "y"])) for n, (at, size) in enumerate(
+        [(0, 13), (0, 12), (116, 13), (120, 20), (127, 13), (128, 13), (250, 150), (687, 13), (0, 700)])]
+    docs += [(20, "the " * 500), (21, " ".join(long[:40] + long[300:320] + long[:13]))]
+    items = [(1, " ".join(long)), (2, " ".join(long[100:400])), (3, "the the the")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = [tuple(r) for r in decontaminate.contamination(make_docs(spark, docs), bench).collect()]
+    assert sorted(got) == sorted(contaminated(docs, items))
+
+
 def test_proximity(spark):
     index = spark.createDataFrame([(1, 0, 5), (2, 0, 9), (1, 1, 5), (2, 1, 30), (1, 2, 7)],
                                   "term_id long, row long, pos int")

@@ -45,12 +45,6 @@ def serving_tables(rows: DataFrame, version: str) -> dict[str, DataFrame]:
     }
 
 
-def store_tables(features: DataFrame, version: str) -> dict[str, DataFrame]:
-    """The four tables of the store, unwritten."""
-    rows = newest_rows(features)
-    return {"rows": rows, **serving_tables(rows, version)}
-
-
 def sanitised(rows: DataFrame) -> DataFrame:
     """Numbers with null, NaN and infinities replaced by 0, counters and flags as int."""
     whole = {"d", "wday", "month", "horizon_day", "target_wday", "days_since_last_sale_lag_28",

@@ -205,6 +205,7 @@ oracle("horizon_feature_table", "feat", f"""
 SELECT {KEY}, sales, wday, month, {r('sell_price')}, {r('price_norm')}, {r('price_momentum_7d')},
   {r('price_momentum_28d')}, lag_28, {r('roll_mean_7_lag_28')}, {r('roll_mean_28_lag_28')},
   {r('masked_roll_mean_28_lag_28')}, {r('ema_lag_28')}, days_since_last_sale_lag_28 FROM feat""")
+ORACLE["appended_feature_table"] = ORACLE["horizon_feature_table"]
 oracle("preprocess_from_csv", "feat", f"""
 SELECT {KEY}, sales, {r('sell_price')}, lag_28, {r('roll_mean_28_lag_28')}, {r('ema_lag_28')} FROM feat""")
 oracle("unpivot_wide_sales", "sales", f"SELECT {KEY}, dept_id, cat_id, sales FROM sales")

@@ -10,7 +10,8 @@ from shelfcast.functions import metrics, scalars, series
 from shelfcast.models import explain, losses, recursive, scoring, trainers, trees
 from shelfcast.models.leafwise import Params
 from shelfcast.operators import encode, horizon, lookup, ranking, reshape, summaries
-from shelfcast.plans import evaluation, features as plans, forecast, leaderboard as boards
+from shelfcast.plans import (
+    evaluation, features as plans, forecast, increments, leaderboard as boards)
 from shelfcast.plans import store as stores, submission as submissions
 from shelfcast.plans.preprocess import preprocess
 from shelfcast.registry import given, tables as t
@@ -39,6 +40,21 @@ def horizon_feature_table(spark, sf):
         "masked_roll_mean_28_lag_28", "ema_lag_28", "days_since_last_sale_lag_28"))
 
 
+@query
+def appended_feature_table(spark, sf):
+    """The feature table up to 30 days before the end, continued by 9 days and then by 21."""
+    df = t.prepared(spark, sf)
+    last = starschema.last_day(spark, sf).first()[0]
+    path = scratch_path(spark, "increments")
+    increments.start(df.filter(F.col("d") <= last - 30), path)
+    increments.append(df.filter(F.col("d").between(last - 29, last - 21)), path)
+    increments.append(df.filter(F.col("d") > last - 21), path)
+    return t.rounded(increments.read(spark, path).select(
+        *KEY, "sales", "wday", "month", "sell_price", "price_norm", "price_momentum_7d",
+        "price_momentum_28d", "lag_28", "roll_mean_7_lag_28", "roll_mean_28_lag_28",
+        "masked_roll_mean_28_lag_28", "ema_lag_28", "days_since_last_sale_lag_28"))
+
+
 @query
 def preprocess_from_csv(spark, sf):
     """Raw CSV files (wide sales, calendar, prices) to a partitioned feature table and back."""
@@ -168,7 +184,7 @@ def leaderboard_store_fanout(spark, sf):
 @query
 def servable_pairs(spark, sf):
     """Item-store pairs with a context row in the store."""
-    ctx = stores.store_tables(t.features(spark, sf), "v")["ctx"]
+    ctx = t.store(spark, sf)["ctx"]
     everywhere = reshape.repeat_stores(
         t.sales(spark, sf).select("item_id").distinct(), t.REGIONS)
     return lookup.keep_available(everywhere, ctx).select("store_id", "item_id")
@@ -177,7 +193,7 @@ def servable_pairs(spark, sf):
 @query
 def unfiltered_when_pairs_unknown(spark, sf):
     """A store that holds none of the asked pairs filters nothing."""
-    ctx = stores.store_tables(t.features(spark, sf), "v")["ctx"]
+    ctx = t.store(spark, sf)["ctx"]
     elsewhere = reshape.repeat_stores(
         t.sales(spark, sf).select("item_id").distinct(), ["NOWHERE"])
     return lookup.keep_available(elsewhere, ctx).select("store_id", "item_id")
@@ -618,9 +634,11 @@ def category_codes(spark, sf):
 
 @query
 def encoded_categories(spark, sf):
-    """Codes on every row; the mapping knows only rows before day 300."""
+    """Codes on every row; the mapping knows only rows before day 300 and is written once."""
     df = starschema.daily_sales(tune(spark), sf)
-    mapping = encode.build_mapping(df.filter(F.col("d") < 300))
+    path = scratch_path(spark, "mapping")
+    writers.write_mapping(encode.build_mapping(df.filter(F.col("d") < 300)), path)
+    mapping = readers.read_mapping(spark, path)
     sizes = encode.category_sizes(mapping)
     zero = encode.encode(df, mapping, sizes=sizes)
     both = encode.encode(zero, mapping, ["item_id"], unseen="null", suffix="_or_null", sizes=sizes)
@@ -691,7 +709,7 @@ def series_states(spark, sf):
 
 @query
 def store_rows(spark, sf):
-    rows = stores.store_tables(t.features(spark, sf), "v1")["rows"]
+    rows = t.store(spark, sf)["rows"]
     return t.rounded(rows.select(*KEY, "sales", "wday", "lag_28", "ema_lag_28"))
 
 
@@ -711,7 +729,7 @@ def store_lookup(spark, sf):
     """Requested pairs found in the store, in the table, or nowhere."""
     df = t.features(spark, sf)
     kept = {k: v.filter(F.col("store_id") != "ASIA")
-            for k, v in stores.store_tables(df, "v1").items() if k in ("ctx", "sales")}
+            for k, v in t.store(spark, sf).items() if k in ("ctx", "sales")}
     wanted = reshape.repeat_stores(
         starschema.daily_sales(spark, sf).select("item_id").distinct(), t.REGIONS + ["NOWHERE"])
     found = stores.lookup(wanted, kept, df)
@@ -792,11 +810,9 @@ def interval_bounds(spark, sf):
 
 
 def _board(spark, sf):
-    df = t.sales(spark, sf)
-    feats = t.features(spark, sf)
     return boards.leaderboard(
-        summaries.item_profile(df), starschema.daily_sales(spark, sf), named_items(spark, sf),
-        available=stores.store_tables(feats, "v")["ctx"])
+        summaries.item_profile(t.sales(spark, sf)), starschema.daily_sales(spark, sf), named_items(spark, sf),
+        available=t.store(spark, sf)["ctx"])
 
 
 @query

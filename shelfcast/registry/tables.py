@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from shelfcast.functions import series
 from shelfcast.plans import features as feature_plans
 from shelfcast.plans import forecast
-from shelfcast.plans.store import fingerprint
+from shelfcast.plans import store as stores
+from shelfcast.plans.store import fingerprint, refresh
 from shelfcast.session import shared_dir, tune
 from shelfcast.sources import starschema, writers
 from shelfcast.sources.schemas import QUANTILES
@@ -22,6 +23,7 @@ SOURCES = ["lineitem", "part", "supplier", "nation", "region"]
 REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
 # changes with the code behind the feature table
 PLAN = sha256("".join(map(getsource, (feature_plans, series, starschema))).encode()).hexdigest()[:16]
+STORE_PLAN = sha256(getsource(stores).encode()).hexdigest()[:16]
 
 
 def sales(spark: SparkSession, sf: str) -> DataFrame:
@@ -38,14 +40,28 @@ def prepared(spark: SparkSession, sf: str) -> DataFrame:
         starschema.prices(spark, sf))
 
 
+def version(spark: SparkSession, sf: str) -> str:
+    """Changes with the state of the source files and with the code that makes the feature table."""
+    files = fingerprint(tune(spark), *[f"{sf}/{name}.parquet" for name in SOURCES])
+    return f"{files}-{PLAN}"
+
+
 def features(spark: SparkSession, sf: str) -> DataFrame:
-    """The feature table, written once per state of its source files and of the code that makes it, and
-    read with the columns and days that a query needs."""
-    version = fingerprint(tune(spark), *[f"{sf}/{name}.parquet" for name in SOURCES])
-    path = f"{shared_dir(spark)}/features-{version}-{PLAN}"
+    """The feature table, written once per version and read with the columns and days that a query
+    needs."""
+    path = f"{shared_dir(spark)}/features-{version(spark, sf)}"
     return writers.build_if_missing(spark, path, lambda: feature_plan(spark, sf))
 
 
+def store(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    """The store's tables, written once per version and read from their files."""
+    known = version(spark, sf)
+    path = f"{shared_dir(spark)}/store-{known}-{STORE_PLAN}"
+    writers.place_if_missing(
+        spark, path, lambda fresh: refresh(features(spark, sf), fresh, known), "/meta")
+    return {name: spark.read.parquet(f"{path}/{name}") for name in ("rows", "ctx", "sales", "meta")}
+
+
 def feature_plan(spark: SparkSession, sf: str) -> DataFrame:
     """The feature table as a plan over its sources."""
     days = starschema.last_day(tune(spark), sf).first()[0]

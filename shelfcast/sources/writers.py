@@ -44,21 +44,30 @@ def exists(spark: SparkSession, path: str) -> bool:
     return files.exists(done)
 
 
-def build_if_missing(spark: SparkSession, path: str, build: Callable[[], DataFrame],
-                     force: bool = False, write: Callable = write_features) -> DataFrame:
-    """Read the table at the path; build and write it first when absent or forced.
+def place_if_missing(spark: SparkSession, path: str, write: Callable[[str], None],
+                     last: str = "") -> None:
+    """Have `write` fill a folder beside the path and rename it when it is complete, unless the path has
+    its `last` table already.
 
-    A table is written beside the path and renamed when it is complete, so that a job that died half-way is
-    redone and of two jobs that start together the second one takes the first one's table.
+    A job that died half-way is redone, and of two jobs that start together the second one takes the
+    first one's tables.
     """
+    if exists(spark, path + last):
+        return
+    fresh = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
+    write(fresh)
+    source, files = _path(spark, fresh)
+    target, _ = _path(spark, path)
+    if not exists(spark, path + last) and not files.rename(source, target) \
+            and not exists(spark, path + last):
+        raise RuntimeError(f"cannot put the table at {path}")
+
+
+def build_if_missing(spark: SparkSession, path: str, build: Callable[[], DataFrame],
+                     force: bool = False, write: Callable = write_features) -> DataFrame:
+    """Read the table at the path; build and write it first when absent or forced."""
     if force:
         write(build(), path)
-    elif not exists(spark, path):
-        fresh = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
-        write(build(), fresh)
-        source, files = _path(spark, fresh)
-        target, _ = _path(spark, path)
-        if exists(spark, path) or not files.rename(source, target):
-            if not exists(spark, path):
-                raise RuntimeError(f"cannot put the table at {path}")
+    else:
+        place_if_missing(spark, path, lambda fresh: write(build(), fresh))
     return spark.read.parquet(path)

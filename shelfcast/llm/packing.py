@@ -156,9 +156,12 @@ def pack(docs: DataFrame, vocab: str | None = None, capacity: int = CAPACITY,
     A document is its ids and the end id; null text is empty and has the end id alone.  Each id is
     in exactly one piece.  A null doc_id is kept; rows that repeat an id are packed each for
     itself; equal lengths are ranked by a hash of the row.  An empty table gives an empty result.
-    The lengths reach the driver as ``capacity / step`` counts only.
+    The lengths reach the driver as ``capacity / step`` counts only.  A vocabulary with ids beyond
+    16 bits is refused.
     """
     vocab = vocab or vocabulary()
+    if tokens.encoder(vocab).most_ids > 1 << 16:
+        raise ValueError("ids of this vocabulary need more than 16 bits")
     pieces = stored(pieces_of(docs, vocab, capacity), "pieces")
     spark = pieces.sparkSession
     units = capacity // step

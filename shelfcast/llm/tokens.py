@@ -2,28 +2,48 @@
 
 The vocabulary drops white space and never joins across it, so a text's ids are the ids of its
 words one after another.  It also parts letters from the punctuation after them, so a word of
-letters with ASCII punctuation behind is its stem and that tail.  Unknown stems of a batch are
-encoded in one call, separated by the vocabulary's end marker.  The memory of known words is
-bounded; it changes speed, not results.
+letters with ASCII punctuation behind is its stem and that tail.  Unknown stems of letters are
+encoded joined by spaces and parted at the ids that end a word, others separated by the vocabulary's
+end marker.  Arrow splits the texts of a group and finds its distinct words; each of these is looked
+up once, and their ids are gathered for all words at once.  The memory of known words is bounded; it
+changes speed, not results.  A vocabulary without these properties encodes whole texts.
 """
 
 from __future__ import annotations
 
+import json
 from unicodedata import normalize
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
 MARK = "<|endoftext|>"
 END_ID = 2
+WORD_END = "</w>"
 TAIL = b"!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"
 
 
+def parts_words(tokenizer: Tokenizer) -> bool:
+    """Whether the ids of a text are those of its words, and of their stems and tails, one after
+    another: lower case, white space dropped, letters apart from punctuation, marked word ends."""
+    rules = json.loads(tokenizer.to_str())
+    normal, split = rules["normalizer"] or {}, rules["pre_tokenizer"] or {}
+    names = [x["type"] for x in normal.get("normalizers", [])]
+    first = (split.get("pretokenizers") or [{}])[0]
+    return (names == ["NFC", "Replace", "Lowercase"] and first.get("behavior") == "Removed"
+            and "\\p{L}]+" in first.get("pattern", {}).get("Regex", "")
+            and rules["model"].get("end_of_word_suffix") == WORD_END
+            and tokenizer.token_to_id(MARK) is not None)
+
+
 class WordEncoder:
     """Encodes UTF-8 texts into little-endian unsigned 32-bit ids."""
 
     def __init__(self, path: str, most_words: int = 350_000):
         self.tokenizer = Tokenizer.from_file(path)
+        self.by_words = parts_words(self.tokenizer)
         # composed lower-case letters need no normalising and no splitting beyond white space
         self.plain = Tokenizer.from_file(path)
         self.plain.normalizer = normalizers.Sequence([])
@@ -31,6 +51,10 @@ class WordEncoder:
             pre_tokenizers.WhitespaceSplit(),
             pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.mark = self.tokenizer.token_to_id(MARK)
+        vocab = self.tokenizer.get_vocab()
+        self.most_ids = max(vocab.values()) + 1
+        self.ends_word = np.zeros(self.most_ids, bool)
+        self.ends_word[[i for token, i in vocab.items() if token.endswith(WORD_END)]] = True
         self.most = most_words
         self.known: dict[bytes, bytes] = {}
         self.stems: dict[bytes, bytes] = {b"": b""}
@@ -39,6 +63,21 @@ class WordEncoder:
         ids = self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids
         return np.asarray(ids, "<u4").tobytes()
 
+    def _learn_letters(self, stems: list[bytes]) -> None:
+        """Stems of letters only: each has exactly one id that ends a word, its last."""
+        for i in range(0, len(stems), 400):
+            part = stems[i:i + 400]
+            ids = np.asarray(self.plain.encode_batch_fast(
+                [b" ".join(part).decode("utf-8", "replace")], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) != len(part):
+                self._learn_stems(part, self.plain)
+                continue
+            raw, begin = ids.tobytes(), 0
+            for stem, end in zip(part, (4 * ends).tolist(), strict=True):
+                self.stems[stem] = raw[begin:end]
+                begin = end
+
     def _learn_stems(self, stems: list[bytes], tokenizer: Tokenizer) -> None:
         for i in range(0, len(stems), 2000):
             part = stems[i:i + 2000]
@@ -73,7 +112,7 @@ class WordEncoder:
             if tail:
                 other.add(tail)
             parted.append((word, stem, tail))
-        self._learn_stems(list(plain.difference(self.stems)), self.plain)
+        self._learn_letters(list(plain.difference(self.stems)))
         self._learn_stems(list(other.difference(self.stems)), self.tokenizer)
         stems = self.stems
         for word, stem, tail in parted:
@@ -81,19 +120,29 @@ class WordEncoder:
 
     def encode_many(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text; a text that holds a marker in its own words is encoded directly."""
-        split = [None if b"<|" in t else t.split() for t in texts]
-        words: set[bytes] = set()
-        for s in split:
-            if s:
-                words.update(s)
-        new = list(words.difference(self.known))
+        whole = [not self.by_words or b"<|" in t for t in texts]
+        held = pa.array([b"" if w else t for t, w in zip(texts, whole, strict=True)], pa.binary())
+        split = pc.ascii_split_whitespace(held.view(pa.string()))
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.view(pa.binary()).to_pylist()
+        new = [w for w in words if w not in self.known]
         if len(self.known) + len(new) > self.most:
             self.known.clear()
-            new = list(words)
+            new = words
         self._learn(new)
-        get = self.known.__getitem__
-        return [self._direct(t) if s is None else b"".join(map(get, s))
-                for t, s in zip(texts, split, strict=True)]
+        each = list(map(self.known.__getitem__, words))
+        # ids of the distinct words one after another, then gathered word by word
+        flat = np.frombuffer(b"".join(each), "<u4")
+        sizes = np.fromiter(map(len, each), np.int64, len(each)) // 4
+        begins = np.cumsum(sizes) - sizes
+        at = coded.indices.to_numpy()
+        n = sizes[at]
+        ends = np.cumsum(n)
+        ids = flat[np.repeat(begins[at] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+        raw = memoryview(ids.tobytes())
+        cuts = (4 * np.concatenate([[0], ends])[split.offsets.to_numpy()]).tolist()
+        return [self._direct(t) if w else bytes(raw[a:b])
+                for t, w, a, b in zip(texts, whole, cuts[:-1], cuts[1:], strict=True)]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}

@@ -193,6 +193,10 @@ def test_word_encoder_equals_the_library():
     texts += ["", "<|endoftext|> a", "It's WE'LL", "12,345.6 !!"]
     got = tokens.WordEncoder(vocabulary(), most_words=50).encode_many([t.encode() for t in texts])
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == [encoded(t)[:-1] for t in texts]
+    other = tokens.WordEncoder(vocabulary("byte_bpe_50k.json"))
+    assert not other.by_words
+    want = [other.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(g, "<u4").tolist() for g in other.encode_many([t.encode() for t in texts])] == want
 
 
 @pytest.mark.parametrize("plane", ["byte", "bit"])

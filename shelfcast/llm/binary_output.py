@@ -96,9 +96,11 @@ def write_ids(docs: DataFrame, path: str, vocab: str | None = None, id_column: s
     ordered.mapInArrow(run, FILE_SCHEMA).write.option("compression", "none").parquet(path)
 
 
-def read_ids(spark: SparkSession, path: str) -> DataFrame:
+def read_ids(spark: SparkSession, path: str, sums: bool = False) -> DataFrame:
     """Documents from the files: doc_id, start (ids of all documents before it), n_tokens and the
-    ids as little-endian unsigned 32-bit integers."""
+    ids as little-endian unsigned 32-bit integers, or with ``sums`` their unsigned CRC instead
+    (``ids_crc32``), formed where the ids are read."""
+    last, kind = ("ids_crc32", pa.int64()) if sums else ("ids", pa.binary())
 
     def run(batches):
         for batch in batches:
@@ -114,15 +116,16 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
                     pa.array(row["doc_ids"], pa.int64()),
                     pa.array(begin + row["start"] + row["before"], pa.int64()),
                     pa.array(row["doc_tokens"], pa.int64()),
-                    pa.array([ids[a:b].tobytes() for a, b in zip(begin, ends, strict=True)],
-                             pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
+                    pa.array([zlib.crc32(ids[a:b]) if sums else ids[a:b].tobytes()
+                              for a, b in zip(begin, ends, strict=True)], kind)],
+                    names=["doc_id", "start", "n_tokens", last])
 
     files = spark.read.schema(FILE_SCHEMA).parquet(path)
     # one row per file, so a single window over them is as small as the list of files
     before = files.groupBy("file").agg(F.sum("n_ids").alias("n")).select(
         "file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("before"))
     return files.join(before, "file").mapInArrow(
-        run, "doc_id long, start long, n_tokens long, ids binary")
+        run, f"doc_id long, start long, n_tokens long, {last} {'long' if sums else 'binary'}")
 
 
 def crc32(ids: DataFrame, *keep: str, width: int = 4) -> DataFrame:

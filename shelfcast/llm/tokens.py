@@ -131,16 +131,21 @@ class WordEncoder:
             new = words
         self._learn(new)
         each = list(map(self.known.__getitem__, words))
-        # ids of the distinct words one after another, then gathered word by word
+        # ids of the distinct words one after another, then gathered word by word; a text has no
+        # more ids than bytes, so narrow numbers do for all but giant texts
+        kind = np.int32 if sum(map(len, texts)) < 1 << 29 else np.int64
         flat = np.frombuffer(b"".join(each), "<u4")
-        sizes = np.fromiter(map(len, each), np.int64, len(each)) // 4
-        begins = np.cumsum(sizes) - sizes
+        sizes = np.fromiter(map(len, each), kind, len(each)) // 4
+        begins = np.cumsum(sizes, dtype=kind) - sizes
         at = coded.indices.to_numpy()
         n = sizes[at]
-        ends = np.cumsum(n)
-        ids = flat[np.repeat(begins[at] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+        ends = np.cumsum(n, dtype=kind)
+        place = np.repeat(begins[at] - (ends - n), n)
+        place += np.arange(len(place), dtype=kind)
+        ids = flat[place]
+        del place
         raw = memoryview(ids.tobytes())
-        cuts = (4 * np.concatenate([[0], ends])[split.offsets.to_numpy()]).tolist()
+        cuts = (4 * np.concatenate([[0], ends])[split.offsets.to_numpy()].astype(np.int64)).tolist()
         return [self._direct(t) if w else bytes(raw[a:b])
                 for t, w, a, b in zip(texts, whole, cuts[:-1], cuts[1:], strict=True)]
 
@@ -155,7 +160,7 @@ def encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
-def encoded_batches(batches, path: str, most_bytes: int = 2_000_000):
+def encoded_batches(batches, path: str, most_bytes: int = 1_000_000):
     """(document id, id bytes with the end id) for each row of Arrow batches (doc_id, text)."""
     end = np.asarray([END_ID], "<u4").tobytes()
     enc = encoder(path)
@@ -170,3 +175,4 @@ def encoded_batches(batches, path: str, most_bytes: int = 2_000_000):
                 for k, got in enumerate(enc.encode_many(group)):
                     yield ids[first + k], got + end
                 group, first, size = [], i + 1, 0
+    pa.default_memory_pool().release_unused()

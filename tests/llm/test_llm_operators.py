@@ -211,7 +211,9 @@ def test_binary_round_trip(spark, corpus, tmp_path, plane):
         start += len(ids)
     assert got == want
     crc = binary_output.crc32(binary_output.read_ids(spark, path), "start")
-    assert {r.start: r.ids_crc32 for r in crc.collect()} == {s: zlib.crc32(b) for s, _, _, b in want}
+    sums = {s: zlib.crc32(b) for s, _, _, b in want}
+    assert {r.start: r.ids_crc32 for r in crc.collect()} == sums
+    assert {r.start: r.ids_crc32 for r in binary_output.read_ids(spark, path, sums=True).collect()} == sums
 
 
 def test_empty_binary_output(spark, tmp_path):

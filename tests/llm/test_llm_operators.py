@@ -277,6 +277,21 @@ def test_quality(spark, corpus):
     assert quality.judge_quality(make_docs(spark, [])).count() == 0
 
 
+def test_quality_bands_do_not_depend_on_partitions(spark):
+    rng = np.random.default_rng(5)
+    rows = [("en" if k % 3 else "fr", bool(k % 7 == 0), 100, *map(float, rng.random(3)))
+            for k in range(6000)]
+    found = spark.createDataFrame(
+        rows, "lang string, base_failed boolean, n_tokens long, " + ", ".join(
+            f"{m} double" for m in quality.BANDED))
+    two, many = (sorted(map(tuple, quality.bands(found.repartition(n)).collect())) for n in (2, 64))
+    assert two == many
+    for lang, *got in two:
+        for k, m in enumerate(quality.BANDED):
+            values = np.round([r[3 + k] for r in rows if r[0] == lang and not r[1]], 4)
+            assert np.allclose(got[3 * k:3 * k + 2], np.quantile(values, [0.25, 0.75]))
+
+
 def test_quality_rejects_by_every_measure(spark):
     rng = random.Random(11)
     parts = ["the", "in", "er", "on", "an", "re", "th", "es", "ing", "en", "at", "ion", "ha", "nd", "or"]

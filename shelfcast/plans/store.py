@@ -9,25 +9,11 @@ from shelfcast.operators import summaries
 from shelfcast.operators.ranking import last_rows
 from shelfcast.operators.summaries import padded_history
 from shelfcast.sources import writers
+from shelfcast.sources.readers import fingerprint
 from shelfcast.sources.schemas import (
     CATEGORY_COLUMNS, HISTORY_DAYS, SERIES, STORE_DAYS, STORE_ROW_COLUMNS, require_columns)
 
 
-def fingerprint(spark: SparkSession, *paths: str) -> str:
-    """16 hex digits over path, size and modification time of every file below the paths.
-
-    The binary reader lists files without opening them, and the per-file hashes are combined by
-    order-free aggregates, so nothing is sorted or gathered.
-    """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths))
-    fact = F.concat_ws("|", "path", "length", F.unix_micros("modificationTime"))
-    summary = files.agg(
-        F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(fact)).alias("x"),
-        F.bit_xor(F.xxhash64(F.reverse(fact))).alias("y"))
-    return summary.select(F.substring(F.sha2(F.concat_ws(
-        "|", "n", F.coalesce("x", F.lit(0)), F.coalesce("y", F.lit(0))), 256), 1, 16)).first()[0]
-
-
 def newest_rows(features: DataFrame, days: int = STORE_DAYS) -> DataFrame:
     """The newest rows of each series, with the columns serving needs."""
     require_columns(features, list(SERIES) + STORE_ROW_COLUMNS)

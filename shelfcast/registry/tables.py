@@ -15,11 +15,11 @@ from shelfcast.plans.store import fingerprint, refresh
 from shelfcast.session import shared_dir, tune
 from shelfcast.sources import starschema, writers
 from shelfcast.sources.schemas import QUANTILES
+from shelfcast.sources.starschema import SOURCES
 
 # Quantile factors of the model-free forecast: a quantile is the lag-28 sales times its factor.
 FACTORS = [0.1, 0.2, 0.6, 0.75, 1.0, 1.3, 1.5, 2.2, 3.0]
 SNAP_REGIONS = {"AFRICA": "snap_CA", "AMERICA": "snap_TX", "ASIA": "snap_WI"}
-SOURCES = ["lineitem", "part", "supplier", "nation", "region"]
 REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
 # changes with the code behind the feature table
 PLAN = sha256("".join(map(getsource, (feature_plans, series, starschema))).encode()).hexdigest()[:16]

@@ -1,16 +1,23 @@
 """Retail tables derived from a star schema (lineitem, part, supplier, nation, region).
 
-Regions act as stores, part types as departments, and (type, size band) as items.
+Regions act as stores, part types as departments, and (type, size band) as items.  The order lines are
+read once: their sums per series and day are written to the shared folder, and all tables come from these.
 """
 
 from __future__ import annotations
 
+from hashlib import sha256
+from inspect import getsource
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shelfcast.functions.series import by_day
+from shelfcast.session import shared_dir, tune
+from shelfcast.sources import readers, writers
 from shelfcast.sources.schemas import HORIZON
 
 FIRST_DATE = "1995-01-02"
+SOURCES = ["lineitem", "part", "supplier", "nation", "region"]
 DIMENSIONS = ["store_id", "item_id", "dept_id", "cat_id", "state_id"]
 
 
@@ -25,8 +32,9 @@ def week_of(d) -> F.Column:
 def retail_lines(spark: SparkSession, folder: str) -> DataFrame:
     """One row per order line: dimensions, day, quantity, unit price.
 
-    No broadcast hints: small dimensions are broadcast by their file size, larger ones are
-    sort-merged, where adaptive execution splits the partition of a hot part.
+    Parts are sort-merged, where adaptive execution splits the partition of a hot part: their rows take
+    many times their file size, and a broadcast of them would pass through the driver.  The other
+    dimensions are broadcast by their file size.
     """
     parts = table(spark, folder, "part").select(
         F.col("p_partkey").alias("l_partkey"),
@@ -50,24 +58,46 @@ def retail_lines(spark: SparkSession, folder: str) -> DataFrame:
     regions = table(spark, folder, "region").select(
         F.col("r_regionkey").alias("n_regionkey"), F.col("r_name").alias("store_id"))
     return (
-        lines.join(parts, "l_partkey").join(suppliers, "l_suppkey")
+        lines.join(parts.hint("merge"), "l_partkey").join(suppliers, "l_suppkey")
         .join(nations, "s_nationkey").join(regions, "n_regionkey")
         .withColumn("state_id", F.col("store_id"))
         .select(*DIMENSIONS, "d", "qty", "unit_price")
     )
 
 
-def last_day(spark: SparkSession, folder: str) -> DataFrame:
-    """The last sales day as a one-row table, for use as a scalar subquery."""
+def line_totals(spark: SparkSession, folder: str) -> DataFrame:
+    """Units and lowest unit price per series and day that had sales; formed map-side before the shuffle."""
+    return retail_lines(spark, folder).groupBy(*DIMENSIONS, "d").agg(
+        F.sum("qty").cast("int").alias("sales"), F.min("unit_price").alias("unit_price"))
+
+
+def final_day(spark: SparkSession, folder: str) -> DataFrame:
+    """The last sales day of all order lines."""
     first = F.lit(FIRST_DATE).cast("date")
     return table(spark, folder, "lineitem").agg(
         (F.datediff(F.max("l_shipdate").cast("date"), first) + 1).alias("last_day"))
 
 
+def daily(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The line totals and the last day, written once per state of the sources and of this code."""
+    files = readers.fingerprint(tune(spark), *[f"{folder}/{name}.parquet" for name in SOURCES])
+    path = f"{shared_dir(spark)}/daily-{files}-{PLAN}"
+
+    def write(fresh: str) -> None:
+        line_totals(spark, folder).write.parquet(f"{fresh}/totals")
+        final_day(spark, folder).write.parquet(f"{fresh}/last_day")
+    writers.place_if_missing(spark, path, write, "/last_day")
+    return {name: spark.read.parquet(f"{path}/{name}") for name in ("totals", "last_day")}
+
+
+def last_day(spark: SparkSession, folder: str) -> DataFrame:
+    """The last sales day as a one-row table, for use as a scalar subquery."""
+    return daily(spark, folder)["last_day"]
+
+
 def daily_sales(spark: SparkSession, folder: str) -> DataFrame:
-    """Units per series and day that had sales; summed map-side before the shuffle."""
-    return retail_lines(spark, folder).groupBy(*DIMENSIONS, "d").agg(
-        F.sum("qty").cast("int").alias("sales"))
+    """Units per series and day that had sales."""
+    return daily(spark, folder)["totals"].select(*DIMENSIONS, "d", "sales")
 
 
 def sales_long(spark: SparkSession, folder: str) -> DataFrame:
@@ -77,15 +107,16 @@ def sales_long(spark: SparkSession, folder: str) -> DataFrame:
     join and the rows stay hashed by series for the windows that follow.
     """
     w = by_day()
-    stretched = daily_sales(spark, folder).select(
+    known = daily(spark, folder)
+    stretched = known["totals"].select(
         *DIMENSIONS, F.col("d").alias("sold_on"), "sales",
         F.when(F.lag("d").over(w).isNull(), F.lit(1)).otherwise(F.col("d")).alias("start"),
         (F.lead("d").over(w) - 1).alias("stop"),
     )
-    final_day = last_day(spark, folder).scalar()
+    last = known["last_day"].scalar()
     return stretched.select(
         *DIMENSIONS, "sold_on", "sales",
-        F.explode(F.sequence("start", F.coalesce("stop", final_day))).alias("d"),
+        F.explode(F.sequence("start", F.coalesce("stop", last))).alias("d"),
     ).select(
         *DIMENSIONS, "d",
         F.when(F.col("d") == F.col("sold_on"), F.col("sales")).otherwise(0).alias("sales"))
@@ -113,7 +144,7 @@ def calendar(spark: SparkSession, folder: str) -> DataFrame:
 
 def prices(spark: SparkSession, folder: str) -> DataFrame:
     """Lowest unit price per series and week; weeks without sales have no row."""
-    return retail_lines(spark, folder).groupBy(
+    return daily(spark, folder)["totals"].groupBy(
         "store_id", "item_id", week_of(F.col("d")).alias("wm_yr_wk")).agg(
         F.min("unit_price").alias("sell_price"))
 
@@ -125,3 +156,7 @@ def event_series(spark: SparkSession, folder: str) -> DataFrame:
         F.col("event_type").alias("store_id"), F.col("user_id").cast("string").alias("item_id"),
         (F.datediff(F.col("ts").cast("date"), first) + 1).alias("d"),
     ).agg(F.count(F.lit(1)).cast("int").alias("sales"))
+
+
+# changes with the code behind the written totals
+PLAN = sha256("".join(map(getsource, (retail_lines, line_totals, final_day))).encode()).hexdigest()[:16]

@@ -93,12 +93,16 @@ class WordEncoder:
     def _learn(self, words: list[bytes]) -> None:
         if len(self.stems) > self.most:
             self.stems = {b"": b""}
+        known, stems = self.known, self.stems
         parted, plain, other = [], set(), set()
         for word in words:
             stem = word.rstrip(TAIL)
             tail = word[len(stem):]
             if stem.isalpha():
                 stem = stem.lower()
+                if stem in stems and tail in stems:      # most words: a known stem and a known tail
+                    known[word] = stems[stem] + stems[tail]
+                    continue
                 plain.add(stem)
             else:
                 text = normalize("NFC", stem.decode("utf-8", "replace")).lower()
@@ -112,11 +116,10 @@ class WordEncoder:
             if tail:
                 other.add(tail)
             parted.append((word, stem, tail))
-        self._learn_letters(list(plain.difference(self.stems)))
-        self._learn_stems(list(other.difference(self.stems)), self.tokenizer)
-        stems = self.stems
+        self._learn_letters(list(plain.difference(stems)))
+        self._learn_stems(list(other.difference(stems)), self.tokenizer)
         for word, stem, tail in parted:
-            self.known[word] = stems[stem] + stems[tail] if tail else stems[stem]
+            known[word] = stems[stem] + stems[tail] if tail else stems[stem]
 
     def encode_many(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text; a text that holds a marker in its own words is encoded directly."""
@@ -124,7 +127,9 @@ class WordEncoder:
         held = pa.array([b"" if w else t for t, w in zip(texts, whole, strict=True)], pa.binary())
         split = pc.ascii_split_whitespace(held.view(pa.string()))
         coded = split.flatten().dictionary_encode()
-        words = coded.dictionary.view(pa.binary()).to_pylist()
+        # as one text that is split again, since words hold no spaces
+        named = pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary.view(pa.binary()))
+        words = pc.binary_join(named, b" ")[0].as_py().split(b" ")
         new = [w for w in words if w not in self.known]
         if len(self.known) + len(new) > self.most:
             self.known.clear()

@@ -10,6 +10,7 @@ from shelfcast.session import scratch_path
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x20\x09-\x0D]+"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -33,8 +34,14 @@ def ascii_lower(text: Column) -> Column:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a table once to the shared folder and read it back: later readers don't repeat the
-    work, and a lost executor takes nothing with it."""
+    work, and a lost executor takes nothing with it.  The shuffle files of the write go when it ends; else
+    they would lie on the disks until the driver collects its garbage."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)

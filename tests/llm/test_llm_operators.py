@@ -17,7 +17,7 @@ from shelfcast.llm import (
     binary_output, components, decontaminate, fm_index, html_text, near_duplicates, packing, pii,
     quality, secrets_scan, substring_dedup, tokens, url_rules,
 )
-from shelfcast.llm.common import vocabulary
+from shelfcast.llm.common import stored, vocabulary
 from shelfcast.llm.shingles import shingle_set
 
 DOCS = "doc_id long, text string, lang string, n string, row long, key string, spans string"
@@ -179,6 +179,34 @@ def test_components_of_a_long_chain(spark):
     assert got == {**{i: 0 for i in range(41)}, 90: 90, 100: 90}
 
 
+def test_stars_settle_without_a_round(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(components, "stored", lambda df, name: written.append(name) or stored(df, name))
+    links = spark.createDataFrame([(5, 1), (1, 4), (9, 8), (7, 7)], "a long, b long")
+    got = {r.node: r.root for r in components.components(links).collect()}
+    assert got == {1: 1, 4: 1, 5: 1, 8: 8, 9: 8} and written == ["links"]
+    chain = spark.createDataFrame([(3, 2), (2, 1), (6, 4), (6, 5)], "a long, b long")
+    got = {r.node: r.root for r in components.components(chain).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 4}
+
+
+def test_a_stored_table_leaves_no_shuffle_files(spark):
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        files = blocks.getAllFiles()
+        names = {files.apply(i).getName() for i in range(files.size())}
+        return {name for name in names if name.startswith("shuffle_")}
+
+    before = shuffles()
+    kept = stored(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+    until = time.time() + 20
+    while shuffles() - before and time.time() < until:                       # files go a little later
+        time.sleep(0.2)
+    assert not shuffles() - before
+    assert {(r["k"], r["count"]) for r in kept.collect()} == {(k, 143 if k < 6 else 142) for k in range(7)}
+
+
 def encoded(text):
     from tokenizers import Tokenizer
 

@@ -16,6 +16,8 @@ compared by 128-bit digests.  An empty table gives an empty result; other column
 from __future__ import annotations
 
 import hashlib
+import re
+from collections.abc import Iterator
 from itertools import permutations
 from math import factorial
 
@@ -28,28 +30,50 @@ NAMES = "ABCDE"
 UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SYMBOLS = b"#$%&*|"
 CONTINUED = bytes(range(0x80, 0xC0))      # bytes of a code point after its first
+SPACE = re.compile(rb"[\x20\x09-\x0D]")
+PIECE = 1 << 18
+BATCH = "4m"                              # bytes of texts that a task hands to Python at once
 COPY = 1 << NAMES.index("E")
 MEASURED = "doc_id long, part string, mask int, digest binary"
 COUNTS = ["kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley"]
 AUDIT = "part string, filter_order string, step int, " + ", ".join(f"{c} long" for c in COUNTS)
 
 
-def text_mask(text: bytes) -> int:
-    """Failures of the filters A to D, which look at one text alone."""
-    words = text.split()
-    upper = len(text) - len(text.translate(None, UPPER))
-    points = len(text.translate(None, CONTINUED))
-    fails = (len(words) < 200, 100 * len(set(words)) < 50 * len(words), 100 * upper > 3 * points,
-             len(text.translate(None, SYMBOLS)) < len(text))
+def pieces(text) -> Iterator[bytes]:
+    """The bytes of a text in pieces of about PIECE, cut at white space, so no word is parted."""
+    view, begin = memoryview(text), 0
+    while begin < len(view):
+        space = SPACE.search(view, begin + PIECE)
+        end = space.start() if space else len(view)
+        yield bytes(view[begin:end])
+        begin = end
+
+
+def text_mask(text) -> int:
+    """Failures of the filters A to D, which look at one text alone.  Of a long text only its distinct
+    words and one piece are held."""
+    n_words, distinct, upper, points, symbols = 0, set(), 0, 0, False
+    for piece in pieces(text):
+        words = piece.split()
+        n_words += len(words)
+        distinct.update(words)
+        upper += len(piece) - len(piece.translate(None, UPPER))
+        points += len(piece.translate(None, CONTINUED))
+        symbols = symbols or len(piece.translate(None, SYMBOLS)) < len(piece)
+    fails = (n_words < 200, 100 * len(distinct) < 50 * n_words, 100 * upper > 3 * points, symbols)
     return sum(fail << i for i, fail in enumerate(fails))
 
 
 def measure(batches):
+    """Texts are read where they lie in the batch, one after the other."""
     for batch in batches:
-        texts = batch.column(2).to_pylist()
+        masked, digests = [], []
+        for text in batch.column(2):
+            data = text.as_buffer()
+            masked.append(text_mask(data))
+            digests.append(hashlib.blake2b(data, digest_size=16).digest())
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(map(text_mask, texts), pa.int32()),
-             pa.array([hashlib.blake2b(t, digest_size=16).digest() for t in texts], pa.binary())],
+            [batch.column(0), batch.column(1), pa.array(masked, pa.int32()), pa.array(digests, pa.binary())],
             ["doc_id", "part", "mask", "digest"])
 
 
@@ -63,7 +87,7 @@ def masks(docs: DataFrame, labels: DataFrame) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("part"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"),
-    ).mapInArrow(measure, MEASURED), "filter-masks")
+    ).mapInArrow(measure, MEASURED), "filter-masks", BATCH)
     least = rows.groupBy("digest").agg(F.min("doc_id").alias("doc_id")).withColumn("first", F.lit(True))
     marks = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
         F.coalesce(F.max((F.col("quality") == 1).cast("int")), F.lit(0)).alias("good"),

@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 import random
+import re
+import tracemalloc
 from itertools import permutations
 
+import pyarrow as pa
+import pytest
+
 from shelfcast.llm import filter_audit as fa
 
 SCHEMA = "doc_id long, text string, lang string, part string, mask int, digest string, good int, n long"
@@ -82,3 +87,51 @@ def test_walk_over_any_number_of_filters():
         for chosen in range(1 << k):
             assert states[chosen] == tuple(sum(c[j] for m, c in cells if not m & chosen) for j in range(2))
     assert len(fa.audit_part([(0, (3, 0, 0)), (5, (2, 1, 1))], "XYZ")) == 18
+
+
+def whole_mask(text):
+    words = re.findall(rb"[^\x20\x09-\x0D]+", text)
+    points = len(text.decode())
+    fails = (len(words) < 200, 100 * len(set(words)) < 50 * len(words),
+             100 * len(re.findall(rb"[A-Z]", text)) > 3 * points, bool(re.search(rb"[#$%&*|]", text)))
+    return sum(fail << i for i, fail in enumerate(fails))
+
+
+@pytest.mark.parametrize("piece", [1, 2, 7, 64, 1 << 18])
+def test_pieces_part_no_word(piece, monkeypatch):
+    monkeypatch.setattr(fa, "PIECE", piece)
+    rng = random.Random(3)
+    texts = ["", " ", "\n\n", "a", " a ", "#", "É" * 97 + "AAA", "É" * 96 + "AAA", "one " * 199, "one " * 200 + "|"]
+    texts += ["".join(rng.choice(["ab", "É", " ", "\t\x0b", "\x85", "Q", "w%d" % rng.randrange(400)])
+                      for _ in range(rng.randrange(900))) for _ in range(60)]
+    for text in map(str.encode, texts):
+        assert b"".join(fa.pieces(text)) == text
+        assert fa.text_mask(text) == whole_mask(text)
+
+
+def test_memory_of_a_batch_is_that_of_a_piece():
+    text = b"word and more " * 100_000
+    batch = pa.RecordBatch.from_arrays([pa.array(range(12)), pa.array(["en"] * 12), pa.array([text] * 12, pa.binary())],
+                                       ["doc_id", "part", "text"])
+    list(fa.measure([batch.slice(0, 1)]))
+    tracemalloc.start()
+    try:
+        (found,) = fa.measure([batch])
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert found.column(2).to_pylist() == [2] * 12 and len(set(found.column(3).to_pylist())) == 1
+    assert peak < 8_000_000         # the texts alone are 16.8 MB
+
+
+def test_batches_of_the_session_are_as_before(spark):
+    from shelfcast.llm.common import BATCH_BYTES, stored
+    before = spark.conf.get(BATCH_BYTES)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"])
+    rows = spark.range(40, numPartitions=1).selectExpr("repeat('x', 100000) AS text").mapInArrow(sizes, "n long")
+    counts = [r.n for r in stored(rows, "batches", "1m").collect()]
+    assert sum(counts) == 40 and max(counts) < 20
+    assert spark.conf.get(BATCH_BYTES) == before
